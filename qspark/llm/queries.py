@@ -5,7 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import langid, toxicity
+from .common import crc_mod
 from .quality import quality_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -21,6 +24,20 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+@query
+def op1_toxicity(spark, d):
+    docs, labels = table(spark, d, "documents"), table(spark, d, "labels")
+    model = toxicity.train(docs, labels.where(crc_mod(F.col("doc_id"), 5) != 0))
+    return toxicity.score(docs, model).select("doc_id", (crc_mod(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted", "weight")
+
+
+@query
+def op6_language_id(spark, d):
+    docs = table(spark, d, "documents")
+    found = langid.predict(docs, langid.train(docs.where(crc_mod(F.col("doc_id"), 4) != 2)))
+    return found.select("doc_id", (crc_mod(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
 @query
 def op10_quality(spark, d):
     return quality_rules(table(spark, d, "documents"))
