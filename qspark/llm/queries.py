@@ -7,10 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, toxicity
+from . import langid, packing, token_io, toxicity
 from .common import crc_mod
 from .quality import quality_rules
 
+def tokenizer() -> str:
+    """Where the tokenizer file is; a parameter of the operators, never copied."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -31,6 +38,11 @@ def op1_toxicity(spark, d):
     return toxicity.score(docs, model).select("doc_id", (crc_mod(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted", "weight")
 
 
+@query
+def op5_packing(spark, d):
+    return packing.pack(table(spark, d, "documents"), tokenizer())
+
+
 @query
 def op6_language_id(spark, d):
     docs = table(spark, d, "documents")
@@ -38,6 +50,11 @@ def op6_language_id(spark, d):
     return found.select("doc_id", (crc_mod(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+@query
+def op7_token_files(spark, d):
+    return token_io.read_tokens(token_io.write_tokens(table(spark, d, "documents"), tokenizer(), end_id=2))
+
+
 @query
 def op10_quality(spark, d):
     return quality_rules(table(spark, d, "documents"))
