@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, packing, token_io, toxicity
+from . import chat, decontam, langid, packing, token_io, toxicity
 from .common import crc_mod
 from .quality import quality_rules
 
@@ -38,6 +38,14 @@ def op1_toxicity(spark, d):
     return toxicity.score(docs, model).select("doc_id", (crc_mod(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted", "weight")
 
 
+@query
+def op3_preference(spark, d):
+    return chat.preference(chat.pairs(table(spark, d, "conversations")))
+
+
+ORACLES["op3_preference"] = chat.SQL
+
+
 @query
 def op5_packing(spark, d):
     return packing.pack(table(spark, d, "documents"), tokenizer())
@@ -55,6 +63,14 @@ def op7_token_files(spark, d):
     return token_io.read_tokens(token_io.write_tokens(table(spark, d, "documents"), tokenizer(), end_id=2))
 
 
+@query
+def op9_decontamination(spark, d):
+    return decontam.contaminated(table(spark, d, "documents"), table(spark, d, "benchmark"))
+
+
+ORACLES["op9_decontamination"] = decontam.SQL
+
+
 @query
 def op10_quality(spark, d):
     return quality_rules(table(spark, d, "documents"))
