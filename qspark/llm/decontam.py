@@ -102,8 +102,8 @@ def contaminated(docs: DataFrame, items: DataFrame, n: int = WORDS, threshold: f
 
 
 SQL = r"""
-WITH w AS (SELECT 'd' AS t, doc_id AS id, list_filter(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x09-\x0D\x20-\x2F\x3A-\x40\x5B-\x60\x7B-\x7E]+'), x -> x <> '') AS l FROM documents
-    UNION ALL SELECT 'i', item_id, list_filter(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x09-\x0D\x20-\x2F\x3A-\x40\x5B-\x60\x7B-\x7E]+'), x -> x <> '') FROM benchmark),
+WITH w AS (SELECT 'd' AS t, doc_id AS id, list_filter(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x09-\x0D\x20-\x2F\x3A-\x40\x5B-\x60\x7B-\x7E]+'), lambda x: x <> '') AS l FROM documents
+    UNION ALL SELECT 'i', item_id, list_filter(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x09-\x0D\x20-\x2F\x3A-\x40\x5B-\x60\x7B-\x7E]+'), lambda x: x <> '') FROM benchmark),
 s AS (SELECT DISTINCT t, id, array_to_string(l[k : k + 4], ' ') AS g FROM (SELECT t, id, l, unnest(generate_series(1, len(l) - 4)) AS k FROM w WHERE len(l) >= 5)),
 n AS (SELECT id, count(*) AS n FROM s WHERE t = 'i' GROUP BY 1)
 SELECT d.id AS doc_id, i.id AS item_id, CAST(any_value(n.n) AS BIGINT) AS n_item, CAST(count(*) AS BIGINT) AS n_found, count(*) / any_value(n.n) AS containment

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, langid, packing, token_io, toxicity
+from . import chat, decontam, langid, minhash, packing, token_io, toxicity
 from .common import crc_mod
 from .quality import quality_rules
 
@@ -38,6 +38,11 @@ def op1_toxicity(spark, d):
     return toxicity.score(docs, model).select("doc_id", (crc_mod(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted", "weight")
 
 
+@query
+def op2_near_duplicates(spark, d):
+    return minhash.near_duplicates(table(spark, d, "documents"), n=4, percent=80)
+
+
 @query
 def op3_preference(spark, d):
     return chat.preference(chat.pairs(table(spark, d, "conversations")))
