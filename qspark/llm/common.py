@@ -152,7 +152,7 @@ def arrow_bytes(rows: list[bytes]) -> pa.Array:
 
 
 def chunks(docs: DataFrame, most: int) -> DataFrame:
-    """documents → rows of about `most` raw bytes: chunk, ids, sizes and compressed texts; kept in the shared folder.
+    """documents → rows of about `most` raw bytes: chunk, raw (bytes), ids, sizes and compressed texts; kept in the shared folder.
 
     A row is the unit that is dealt to tasks later; a longer document makes a chunk of its own.
     """
@@ -167,7 +167,7 @@ def chunks(docs: DataFrame, most: int) -> DataFrame:
             body, sizes = b"".join(raw), np.array([len(t) for t in raw], np.int64).tobytes()
             with_ids = b",".join(b"" if i is None else b"%d" % i for i in ids.to_pylist())
             key = xxhash.xxh64_intdigest(body, xxhash.xxh64_intdigest(with_ids + sizes)) >> 1
-            return pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), arrow_bytes([squeeze(with_ids)]), arrow_bytes([squeeze(sizes)]), arrow_bytes([squeeze(body)])], names=["chunk", "ids", "sizes", "body"])
+            return pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), pa.array([len(body)], pa.int64()), arrow_bytes([squeeze(with_ids)]), arrow_bytes([squeeze(sizes)]), arrow_bytes([squeeze(body)])], names=["chunk", "raw", "ids", "sizes", "body"])
 
         for batch, texts in steps(batches, most=min(most, STEP_BYTES)):
             held.append((batch.column(0), texts))
@@ -178,7 +178,7 @@ def chunks(docs: DataFrame, most: int) -> DataFrame:
         if held:
             yield out()
 
-    packed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(pack, "chunk long, ids binary, sizes binary, body binary")
+    packed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(pack, "chunk long, raw long, ids binary, sizes binary, body binary")
     # Two chunks with all the same ids and texts would share a key; a number of the written row tells them apart.
     return stage(packed.withColumn("chunk", F.xxhash64("chunk", F.monotonically_increasing_id())), "chunks")
 

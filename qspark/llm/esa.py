@@ -67,47 +67,73 @@ def lcp_array(sa: np.ndarray, levels: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def intervals(lcp: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The common-prefix interval tree by one stack scan: first and last place in the array and the length, length >= least."""
+def intervals(lcp: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The common-prefix interval tree of lengths >= least, by one stack scan.
+
+    First and last place in the array, length and parent (-1: none) of each interval, and each place's deepest interval (-1: none).
+    """
     lo: list[int] = []
     hi: list[int] = []
     length: list[int] = []
+    parent: list[int] = []
+    deepest = np.full(len(lcp), -1, np.int64)
     inside = np.flatnonzero(lcp >= least)
     if not len(inside):
-        return (np.zeros(0, np.int64),) * 3
+        return (np.zeros(0, np.int64),) * 4 + (deepest,)
     cuts = np.flatnonzero(np.diff(inside) > 1) + 1
+    places: list[int] = []
+    found: list[int] = []
     for run in np.split(inside, cuts):
-        at = int(run[0])
-        stack: list[tuple[int, int]] = []  # (first place, length)
-        for i, v in enumerate(lcp[run].tolist(), at):
-            left = i - 1
-            while stack and stack[-1][1] > v:
-                left, top = stack.pop()
-                lo.append(left), hi.append(i - 1), length.append(top)
-            if not stack or stack[-1][1] < v:
-                stack.append((left, v))
+        first = int(run[0])
+        stack: list[int] = []  # open intervals, by number
+        for i, v in enumerate(lcp[run[0] : run[-1] + 1].tolist(), first):
+            left, below = i - 1, -1
+            while stack and length[stack[-1]] > v:
+                top = stack.pop()
+                hi[top] = i - 1
+                left = lo[top]
+                if below >= 0:
+                    parent[below] = top
+                below = top
+            if not stack or length[stack[-1]] < v:
+                stack.append(len(lo))
+                lo.append(left), hi.append(-1), length.append(v), parent.append(-1)
+            if below >= 0:
+                parent[below] = stack[-1]
+            places.append(i)
+            found.append(stack[-1])
         last = int(run[-1])
+        below = -1
         while stack:
-            left, top = stack.pop()
-            lo.append(left), hi.append(last), length.append(top)
-    return np.array(lo, np.int64), np.array(hi, np.int64), np.array(length, np.int64)
-
+            top = stack.pop()
+            hi[top] = last
+            if below >= 0:
+                parent[below] = top
+            below = top
+    lo, hi, length, parent = (np.array(x, np.int64) for x in (lo, hi, length, parent))
+    # a place lies between its own and the next common-prefix length; the longer one is its deepest interval
+    places, found = np.array(places), np.array(found)
+    deepest[places] = found
+    before = places - 1
+    longer = (deepest[before] < 0) | (length[np.maximum(deepest[before], 0)] < length[found])
+    deepest[before[longer]] = found[longer]
+    return lo, hi, length, parent, deepest
+
+
+def left_diverse(symbols: np.ndarray, sa: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """Of intervals: do their occurrences have different symbols to their left? If not, one longer to the left holds them all."""
+    left = np.where(sa > 0, symbols[sa - 1], -1)
+    change = np.concatenate([[0], np.cumsum(left[1:] != left[:-1])])
+    return change[hi] > change[lo]
 
-def maximal_repeats(symbols: np.ndarray, sa: np.ndarray, lcp: np.ndarray, least: int, fresh: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The intervals whose occurrences do not all have the same symbol to their left.
 
-    fresh: marks suffixes whose left neighbour counts as different from any other. All occurrences of group g are sa[lo[g] : hi[g] + 1].
-    """
-    lo, hi, length = intervals(lcp, least)
+def maximal_repeats(symbols: np.ndarray, sa: np.ndarray, lcp: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First and last place and length of the left-diverse intervals. All occurrences of group g are sa[lo[g] : hi[g] + 1]."""
+    lo, hi, length, _, _ = intervals(lcp, least)
     if not len(lo):
         return lo, hi, length
-    left = np.where(sa > 0, symbols[sa - 1], -1)
-    if fresh is not None:
-        own = fresh[sa]
-        left = np.where(own, -2 - sa, left)
-    change = np.concatenate([[0], np.cumsum(left[1:] != left[:-1])])
-    diverse = change[hi] > change[lo]
-    return lo[diverse], hi[diverse], length[diverse]
+    keep = left_diverse(symbols, sa, lo, hi)
+    return lo[keep], hi[keep], length[keep]
 
 
 def longest_by_position(sa: np.ndarray, lcp: np.ndarray) -> np.ndarray:

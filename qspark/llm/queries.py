@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, langid, minhash, packing, token_io, toxicity
+from . import chat, decontam, langid, minhash, packing, suffix_dedup, token_io, toxicity
 from .common import crc_mod
 from .quality import quality_rules
 
@@ -51,6 +51,11 @@ def op3_preference(spark, d):
 ORACLES["op3_preference"] = chat.SQL
 
 
+@query
+def op4_suffix_dedup(spark, d):
+    return suffix_dedup.removals(table(spark, d, "documents"))
+
+
 @query
 def op5_packing(spark, d):
     return packing.pack(table(spark, d, "documents"), tokenizer())
