@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import mixed, pack_sorted, ready, shingle_hashes, stage, steps, unpack_sorted, word_codes, word_windows
 from .components import components
+from .exchange import by_key
 
 WORDS, PERCENT = 5, 80
 BANDS, ROWS = 32, 4
@@ -98,23 +99,6 @@ def signatures(docs: DataFrame, n: int = WORDS, bands: int = BANDS, rows: int =
     return _own(docs).mapInArrow(run, "doc_id long, n_shingles long, hi long, lo long, bands array<long>")
 
 
-def by_key(batches, key: str = "key"):
-    """Tables of one key each from batches that come sorted by it; only one key is held."""
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        k = np.asarray(batch.column(batch.schema.get_field_index(key)))
-        cuts = [0, *(np.flatnonzero(k[1:] != k[:-1]) + 1).tolist(), len(k)]
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            if held and held[0].column(held[0].schema.get_field_index(key))[0].as_py() != k[a]:
-                yield pa.Table.from_batches(held)
-                held = []
-            held.append(batch.slice(a, b - a))
-    if held:
-        yield pa.Table.from_batches(held)
-
-
 class _Roots:
     def __init__(self, n: int):
         self.up = list(range(n))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, langid, minhash, packing, suffix_dedup, token_io, toxicity
+from . import chat, decontam, langid, lm, minhash, packing, suffix_dedup, token_io, toxicity
 from .common import crc_mod
 from .quality import quality_rules
 
@@ -73,6 +73,14 @@ def op7_token_files(spark, d):
     return token_io.read_tokens(token_io.write_tokens(table(spark, d, "documents"), tokenizer(), end_id=2))
 
 
+@query
+def op8_backoff_scores(spark, d):
+    return lm.scores(table(spark, d, "documents")).select("doc_id", "n_words", "n_full", F.round("mean_log", 6).alias("mean_log"))
+
+
+ORACLES["op8_backoff_scores"] = lm.SQL
+
+
 @query
 def op9_decontamination(spark, d):
     return decontam.contaminated(table(spark, d, "documents"), table(spark, d, "benchmark"))

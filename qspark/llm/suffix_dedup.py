@@ -34,11 +34,9 @@ from pyspark.sql import functions as F
 
 from . import esa
 from .common import arrow_bytes, chunks, mixed, open_chunk, pack_sorted, ready, squeeze, stage, unpack_sorted, unsqueeze
-from .minhash import by_key
+from .exchange import bucket_edges, by_key, collected, dealt, rows_of
 
 LEAST, K = 50, 16
-_TOP = 1 << 64
-
 
 @dataclass(frozen=True)
 class Plan:
@@ -100,19 +98,9 @@ class Segments:
         self.doc = np.searchsorted(ends, self.start, side="right")
 
 
-def bucket_edges(keys: np.ndarray, buckets: int) -> np.ndarray:
-    """Where each bucket's range starts in ascending keys, and the end."""
-    return np.searchsorted(keys, np.array([b * _TOP // buckets for b in range(buckets)], np.uint64)).tolist() + [len(keys)]
-
-
-def _rows(batches):
-    for batch in batches:
-        yield from batch.to_pylist()
-
-
 def _send_keys(chunk_rows: DataFrame, buckets: int, plan: Plan) -> DataFrame:
     def run(batches):
-        for row in _rows(batches):
+        for row in rows_of(batches):
             keys, counts = np.unique(Segments(*open_chunk(row["ids"], row["sizes"], row["body"])).key, return_counts=True)
             edges = bucket_edges(keys, buckets)
             full = [b for b in range(buckets) if edges[b + 1] > edges[b]]
@@ -138,11 +126,7 @@ def _send_keys(chunk_rows: DataFrame, buckets: int, plan: Plan) -> DataFrame:
             shared, frequent = chunks_with > 1, total > plan.frequent
             yield pa.RecordBatch.from_arrays([t.column("chunk").combine_chunks(), pa.array([t.column("key")[0].as_py()] * len(at), pa.int32()), arrow_bytes([squeeze(np.packbits(np.concatenate([shared[k], frequent[k]])).tobytes()) for k in at])], names=["chunk", "bucket", "bits"])
 
-    return _dealt(sent).mapInArrow(answer, "chunk long, bucket int, bits binary")
-
-
-def _dealt(sent: DataFrame) -> DataFrame:
-    return sent.repartition("key").sortWithinPartitions("key", "chunk")
+    return dealt(sent).mapInArrow(answer, "chunk long, bucket int, bits binary")
 
 
 def _marks(seg: Segments, answers: list | None, buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -206,7 +190,7 @@ def _send_units(chunk_rows: DataFrame, key_buckets: int, buckets: int, plan: Pla
     """chunk_rows: with answers. The bits of all units' strings: chunk, bucket, bits."""
 
     def run(batches):
-        for row in _rows(batches):
+        for row in rows_of(batches):
             ids, sizes, body = open_chunk(row["ids"], row["sizes"], row["body"])
             u = Units(ids, body, Segments(ids, sizes, body), row["answers"], key_buckets)
             edges = bucket_edges(u.keys, buckets)
@@ -245,7 +229,7 @@ def _send_units(chunk_rows: DataFrame, key_buckets: int, buckets: int, plan: Pla
                 bits.append(squeeze(np.packbits(np.concatenate([flags[n] if mm == least[n] else np.ones(len(flags[n]), bool) for n, mm in mine])).tobytes()))
             yield pa.RecordBatch.from_arrays([t.column("chunk").combine_chunks(), pa.array([t.column("key")[0].as_py()] * len(own), pa.int32()), arrow_bytes(bits)], names=["chunk", "bucket", "bits"])
 
-    return _dealt(sent).mapInArrow(answer, "chunk long, bucket int, bits binary")
+    return dealt(sent).mapInArrow(answer, "chunk long, bucket int, bits binary")
 
 
 def repeated(contents: list[bytes], keys: np.ndarray, least: np.ndarray, array: int = Plan.array) -> list[np.ndarray]:
@@ -347,19 +331,14 @@ def _removed(row: dict, key_buckets: int, buckets: int) -> tuple[list, np.ndarra
     return ids, sizes, body, esa.covered(starts, np.full(len(starts), LEAST, np.int64), len(body))
 
 
-def _collected(answers: DataFrame, name: str) -> DataFrame:
-    """A chunk's bits from all buckets in a row: bounded by the chunk's size."""
-    return answers.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "bits")).alias(name))
-
-
 def _judged(docs: DataFrame, plan: Plan) -> tuple[DataFrame, int, int]:
     ready(docs.sparkSession)
     packed = chunks(docs, plan.chunk)
     raw = packed.agg(F.sum("raw")).first()[0] or 0
     key_buckets, buckets = max(1, -(-raw // plan.key_bucket)), max(1, -(-raw // plan.content_bucket))
-    shared = stage(_collected(_send_keys(packed, key_buckets, plan), "answers"), "shared")
+    shared = stage(collected(_send_keys(packed, key_buckets, plan), "answers"), "shared")
     marked = packed.join(shared, "chunk", "left")
-    bits = stage(_collected(_send_units(marked, key_buckets, buckets, plan), "bits"), "bits")
+    bits = stage(collected(_send_units(marked, key_buckets, buckets, plan), "bits"), "bits")
     return marked.join(bits, "chunk", "left"), key_buckets, buckets
 
 
@@ -368,7 +347,7 @@ def removals(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:
     rows, key_buckets, buckets = _judged(docs, plan)
 
     def run(batches):
-        for row in _rows(batches):
+        for row in rows_of(batches):
             ids, sizes, body, gone = _removed(row, key_buckets, buckets)
             raw, out, a = np.frombuffer(body, np.uint8), [], 0
             for s in sizes.tolist():
@@ -388,7 +367,7 @@ def deduplicated(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:
     rows, key_buckets, buckets = _judged(docs, plan)
 
     def run(batches):
-        for row in _rows(batches):
+        for row in rows_of(batches):
             ids, sizes, body, gone = _removed(row, key_buckets, buckets)
             raw, texts, n, a = np.frombuffer(body, np.uint8), [], [], 0
             for s in sizes.tolist():
