@@ -1,13 +1,64 @@
-"""A corpus pipeline over documents: (name, function) stages, each through one operator."""
+"""A corpus pipeline over documents: (name, function) stages, each through one operator.
+
+Each stage gets the documents that its predecessor kept; all but the last return the columns of documents (n_chars is counted
+again where a text changes). Documents with a null doc_id are judged by their language only.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from qspark.llm import decontam, langid, minhash, packing, suffix_dedup
+from qspark.llm.common import stage
+from qspark.llm.queries import tokenizer
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: A text closer to no language than this (of 0 to 1) is rejected, and one without letters.
+LEAST_LANGUAGE_SCORE = 0.15
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Reject documents without letters or far from every learned language."""
+    found = langid.language_id(docs, F.col("lang").isNotNull(), keep=tuple(COLUMNS))
+    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select(*COLUMNS)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays, the one with the smallest doc_id."""
+    gone = minhash.near_duplicates(docs).where("not kept").select("doc_id")
+    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Byte strings that a document with a smaller doc_id has, too, are cut out; documents of which nothing is left go. Rows of one doc_id and text get the same."""
+    left = suffix_dedup.deduplicated(docs).where("n_removed > 0").distinct()
+    text = F.when(F.col("n_removed").isNotNull(), F.col("kept_text")).otherwise(F.col("text"))
+    out = docs.withColumn("text_hash", F.xxhash64("text")).join(left, ["doc_id", "text_hash"], "left").withColumn("text", text)
+    out = out.where(F.col("n_removed").isNull() | (F.trim("text") != ""))
+    return out.withColumn("n_chars", F.when(F.col("n_removed").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
+
+
+def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that contain a benchmark item go."""
+    leaks = decontam.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct()
+    return docs.join(leaks, "doc_id", "left_anti").select(*COLUMNS)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of token sequences: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
+    return packing.pack(docs, tokenizer())
+
+
+STAGES = [("language_id", language), ("near_duplicates", near_duplicates), ("suffix_dedup", repeated_passages), ("decontamination", benchmark_leaks), ("packing", packed)]
+#: SQL can express neither the language profiles' training order nor the packing; the pipeline is tested against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, f in STAGES:
+    for k, (name, f) in enumerate(STAGES):
         docs = f(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):
+            docs = stage(docs, name)
     return docs

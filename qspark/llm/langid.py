@@ -27,6 +27,8 @@ MOST_LANGS = 1000
 #: No code point: stands in the middle of a 2-gram and before a 1-gram, so that lengths are told apart.
 FILLER = 0x1FFFFF
 
+_TEXT = "text to identify"
+
 _letter: np.ndarray | None = None
 
 
@@ -122,8 +124,8 @@ def train(docs: DataFrame, top: int = TOP) -> dict[str, list[int]]:
     return {r["lang"]: [x["gram"] for x in r["grams"]] for r in rows}
 
 
-def predict(docs: DataFrame, profiles: dict[str, list[int]], top: int = TOP) -> DataFrame:
-    """doc_id, lang_pred, score: one row a document, no shuffle."""
+def predict(docs: DataFrame, profiles: dict[str, list[int]], top: int = TOP, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns in keep, lang_pred, score: one row a document, no shuffle."""
     ready(docs.sparkSession)
     names = sorted(profiles)
     vocabulary = np.array(sorted({g for x in profiles.values() for g in x}), np.int64)
@@ -135,7 +137,7 @@ def predict(docs: DataFrame, profiles: dict[str, list[int]], top: int = TOP) ->
     padded = np.concatenate([vocabulary, [-1]])
 
     def run(batches):
-        for batch, texts in steps(batches):
+        for batch, texts in steps(batches, text=_TEXT):
             m = len(texts)
             who, gram, rank = ranked(*gram_counts(texts, np.arange(m)), top)
             at = np.minimum(np.searchsorted(vocabulary, gram), len(vocabulary))
@@ -146,11 +148,13 @@ def predict(docs: DataFrame, profiles: dict[str, list[int]], top: int = TOP) ->
             best = dist.argmin(axis=1)
             known = (size > 0) & bool(names)
             score = np.where(known, 1 - dist[np.arange(m), best] / np.maximum(1, size * top), 0.0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([names[b] if ok else "und" for b, ok in zip(best, known, strict=True)], pa.string()), pa.array(np.clip(score, 0, 1))], names=["doc_id", "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([names[b] if ok else "und" for b, ok in zip(best, known, strict=True)], pa.string()), pa.array(np.clip(score, 0, 1))], names=[*keep, "lang_pred", "score"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double")
+    own = docs.select(*(F.col(k).cast("long").alias(k) if k == "doc_id" else F.col(k) for k in keep), F.col("text").cast("string").alias(_TEXT))
+    kinds = dict(own.dtypes)
+    return own.mapInArrow(run, ", ".join([*(f"`{k}` {kinds[k]}" for k in keep), "lang_pred string", "score double"]))
 
 
-def language_id(docs: DataFrame, train_rows: Column, top: int = TOP) -> DataFrame:
+def language_id(docs: DataFrame, train_rows: Column, top: int = TOP, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Learn from the rows that train_rows marks, predict all."""
-    return predict(docs, train(docs.where(train_rows), top), top)
+    return predict(docs, train(docs.where(train_rows), top), top, keep)

@@ -363,21 +363,22 @@ def removals(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:
-    """doc_id, kept_text, n_removed: what is left of each text. A cut inside a character drops what is left of that character."""
+    """doc_id, text_hash (xxhash64 of the text), kept_text, n_removed: what is left of each text. A cut inside a character drops what is left of that character."""
     rows, key_buckets, buckets = _judged(docs, plan)
 
     def run(batches):
         for row in rows_of(batches):
             ids, sizes, body, gone = _removed(row, key_buckets, buckets)
-            raw, texts, n, a = np.frombuffer(body, np.uint8), [], [], 0
+            raw, texts, n, own, a = np.frombuffer(body, np.uint8), [], [], [], 0
             for s in sizes.tolist():
                 m = gone[a : a + s]
                 texts.append(raw[a : a + s][~m].tobytes().decode("utf-8", "ignore"))
                 n.append(int(m.sum()))
+                own.append(xxhash.xxh64_intdigest(body[a : a + s], 42))  # as Spark's xxhash64
                 a += s
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts, pa.string()), pa.array(n, pa.int64())], names=["doc_id", "kept_text", "n_removed"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.array(own, np.uint64).view(np.int64)), pa.array(texts, pa.string()), pa.array(n, pa.int64())], names=["doc_id", "text_hash", "kept_text", "n_removed"])
 
-    return rows.mapInArrow(run, "doc_id long, kept_text string, n_removed long")
+    return rows.mapInArrow(run, "doc_id long, text_hash long, kept_text string, n_removed long")
 
 
 def repeat_groups(texts: list[bytes], least: int = LEAST) -> list[tuple[int, list[tuple[int, int]]]]:
