@@ -50,4 +50,4 @@ def remove(a: DataFrame, rid: str, rows: Sequence) -> DataFrame:
 
 
 def filter_(a: DataFrame, mask) -> DataFrame:
-    return a.where(F.coalesce(mask, F.lit(False)))
+    return a.where(mask)

@@ -53,7 +53,7 @@ class Table:
         by without out: the first row of each group. by with out: out holds aggregates; a plain column under by becomes the group's
         list (see `listed`). out without by: a row a row, or with aggregated=True one row.
         """
-        d = self.full if where is None else self.full.where(F.coalesce(where, F.lit(False)))
+        d = self.full if where is None else self.full.where(where)  # a null is no match; bare, it is pushed into the scan
         keys = self._by(by)
         if keys:
             named = [e.alias(k) for k, e in keys.items()]
