@@ -67,7 +67,7 @@ def gram_counts(texts: list[bytes], owner: np.ndarray) -> tuple[np.ndarray, np.n
     base = who.astype(np.int64) << (3 * bits)
     one = d > 0
     two = one | (prev > 0)
-    three = two & (prev > 0) & (np.arange(len(d)) >= 2)
+    three = two & (prev > 0)
     keys = np.concatenate([(base | fill << (2 * bits) | fill << bits | d)[one], (base | prev << (2 * bits) | fill << bits | d)[two], (base | prev2 << (2 * bits) | prev << bits | d)[three]]).astype(np.uint64)
     keys.sort()
     first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
