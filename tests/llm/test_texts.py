@@ -58,7 +58,7 @@ def test_language_profile_counts():
 
 
 def test_toxicity(spark, odd):
-    texts = [(k, f"some plain words number {k} here" + (" you IDI0T" if k % 2 else ""), k % 2) for k in range(60)]
+    texts = [(k, " ".join(f"w{k}q{j}" for j in range(12)) + (" you IDI0T" if k % 2 else ""), k % 2) for k in range(60)]
     docs = spark.createDataFrame([(k, t) for k, t, _ in texts], "doc_id long, text string")
     labels = spark.createDataFrame([(k, y, 1) for k, _, y in texts] + [(None, 1, 1), (1, None, 1)], "doc_id long, toxic int, text int")
     model = toxicity.train(docs, labels)
