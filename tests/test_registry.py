@@ -16,7 +16,7 @@ DIR = "/root/testdata/sf0.001"
 def plain(v):
     if isinstance(v, (np.ndarray, list)):
         return str([plain(x) for x in v])
-    if v is None or v is pd.NaT or isinstance(v, float) and v != v:
+    if v is None or v is pd.NaT or v is pd.NA or isinstance(v, float) and v != v:
         return "NULL"
     if isinstance(v, (float, np.floating)):
         return f"{v:.6g}"
