@@ -1,13 +1,15 @@
-"""Whole texts to token ids with a tokenizer file, with a cache of what stands between single spaces.
+"""Whole texts to token ids with a byte-level tokenizer file, with a cache of what stands between single spaces.
 
 The byte-level pattern never lets a token reach over a space that stands between two other characters, except as that token's
-first character. A text is therefore cut there, and each piece (its space in front) is encoded by the library once.
+first character. A text is therefore cut there, and each piece (its space in front) is encoded by the library once. New pieces
+without white space go to the library many at a time, a line end after each, whose id tells them apart again; letters and a last
+, or . are the letters' ids and the mark's.
 """
 
 from __future__ import annotations
 
+import os
 import re
-from array import array
 
 import numpy as np
 
@@ -15,70 +17,139 @@ _cut = re.compile(r"(?<=\S) (?=\S)")
 _odd = re.compile(r" \s|\s ")
 
 
+class _Numbers(dict):
+    """Piece → number, in order of first sight; the new ones wait in `new`."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, piece: str) -> int:
+        n = self[piece] = len(self)
+        self.new.append(piece)
+        return n
+
+
+class _Store:
+    """Id lists by number, in growing arrays."""
+
+    def __init__(self):
+        self.flat, self.starts, self.sizes = np.empty(1 << 16, np.uint32), np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64)
+        self.n_flat = self.n = 0
+
+    @staticmethod
+    def _room(x: np.ndarray, n: int) -> np.ndarray:
+        return x if n <= len(x) else np.concatenate([x, np.empty(max(n, 2 * len(x)) - len(x), x.dtype)])
+
+    def put(self, numbers: np.ndarray, flat: np.ndarray, sizes: np.ndarray) -> None:
+        if not len(numbers):
+            return
+        self.flat = self._room(self.flat, self.n_flat + len(flat))
+        top = max(self.n, int(numbers.max()) + 1)
+        self.starts, self.sizes = self._room(self.starts, top), self._room(self.sizes, top)
+        self.flat[self.n_flat : self.n_flat + len(flat)] = flat
+        self.starts[numbers] = self.n_flat + np.cumsum(sizes) - sizes
+        self.sizes[numbers] = sizes
+        self.n_flat += len(flat)
+        self.n = top
+
+    def get(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        sizes = self.sizes[numbers]
+        ends = np.cumsum(sizes)
+        at = np.repeat(self.starts[numbers] - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)
+        return self.flat[at], sizes
+
+
 class Coder:
     #: Pieces kept before the cache is emptied: the bound of a worker's memory.
-    MOST = 500_000
+    MOST = 1_000_000
+    #: Pieces in one text for the library.
+    LINE = 200
 
     def __init__(self, path: str):
-        import os
-
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.line_end, self.marks = self._ids("\n"), {x: self._ids(x)[0] for x in ",."}
         self.clear()
 
+    def _ids(self, text: str) -> list[int]:
+        return self.library.encode(text, add_special_tokens=False).ids
+
     def clear(self) -> None:
-        self.codes: dict[str, int] = {}
-        self.flat, self.starts, self.sizes = array("I"), array("q"), array("q")
-
-    def _add(self, key: str, ids) -> None:
-        self.codes[key] = len(self.starts)
-        self.starts.append(len(self.flat))
-        self.sizes.append(len(ids))
-        self.flat.extend(ids)
-
-    def _ids(self, key: str):
-        k = self.codes[key]
-        return self.flat[self.starts[k] : self.starts[k] + self.sizes[k]]
-
-    def _learn(self, new: list[str]) -> None:
-        """Letters and a last , or . are two tokens' runs; their ids are joined from the two."""
-        ends = {x: (x[:-1], x[-1]) for x in new if x[-1:] in (",", ".") and x[1:-1].isalpha() and x[0] == " "}
-        need = [x for x in dict.fromkeys(y for x in new for y in ends.get(x, (x,))) if x not in self.codes]
-        for x, e in zip(need, self.library.encode_batch_fast(need, add_special_tokens=False), strict=True):
-            self._add(x, e.ids)
-        for x, (a, b) in ends.items():
-            self._add(x, self._ids(a) + self._ids(b))
+        self.after, self.first = (_Numbers(), _Store()), (_Numbers(), _Store())
+
+    def _each(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.array([x for y in ids for x in y], np.uint32), np.array([len(y) for y in ids], np.int64)
+
+    def _learn(self) -> None:
+        """Ids of the new pieces."""
+        numbers, store = self.first
+        if numbers.new:
+            store.put(np.array([numbers[x] for x in numbers.new]), *self._each(numbers.new))
+            numbers.new = []
+        numbers, store = self.after
+        if not numbers.new:
+            return
+        ended = [x for x in numbers.new if x[-1:] in self.marks and x[:-1].isalpha() and max(x) < "԰"]
+        cores = np.array([numbers[x[:-1]] for x in ended], np.int64)
+        apart = set(ended)
+        solid, others = [], []
+        for x in numbers.new:
+            if x not in apart:
+                (solid if len(self.line_end) == 1 and (x.isalpha() or x.split() == [x]) else others).append(x)
+        numbers.new = []
+        if solid:
+            lines = [" " + "\n ".join(solid[k : k + self.LINE]) + "\n" for k in range(0, len(solid), self.LINE)]
+            flat, _ = self._each(lines)
+            ends = np.flatnonzero(flat == self.line_end[0])
+            if len(ends) != len(solid):
+                raise ValueError("this tokenizer file joins words and line ends")
+            store.put(np.array([numbers[x] for x in solid]), np.delete(flat, ends), np.diff(ends, prepend=-1) - 1)
+        if others:
+            store.put(np.array([numbers[x] for x in others]), *self._each([" " + x for x in others]))
+        if ended:
+            flat, sizes = store.get(cores)
+            store.put(np.array([numbers[x] for x in ended]), np.insert(flat, np.cumsum(sizes), [self.marks[x[-1]] for x in ended]), sizes + 1)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row (uint32), and the number of ids of each text."""
-        if len(self.codes) > self.MOST:
+        if len(self.after[0]) > self.MOST:
             self.clear()
         pieces: list[str] = []
-        counts = []
+        counts: list[int] = []
+        heads: list[str] = []
         for t in texts:
-            own = _cut.split(t) if _odd.search(t) else t.split(" ") if not t[:1].isspace() and not t[-1:].isspace() else _cut.split(t)
             if not t:
                 counts.append(0)
                 continue
+            own = _cut.split(t) if _odd.search(t) or t[0].isspace() or t[-1].isspace() else t.split(" ")
             counts.append(len(own))
-            pieces.append(own[0])
-            pieces += [" " + x for x in own[1:]]
-        known = self.codes
-        new = [x for x in dict.fromkeys(pieces) if x not in known]
-        if new:
-            self._learn(new)
-        k = np.fromiter(map(known.__getitem__, pieces), np.int64, len(pieces))
-        sizes = np.frombuffer(self.sizes, np.int64)[k] if len(k) else np.zeros(0, np.int64)
-        starts = np.frombuffer(self.starts, np.int64)[k] if len(k) else sizes
-        ends = np.cumsum(sizes)
-        at = np.repeat(starts - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)
-        flat = np.frombuffer(self.flat, np.uint32)[at] if len(at) else np.zeros(0, np.uint32)
-        upto = np.cumsum(np.array(counts, np.int64))
-        total = np.concatenate([[0], ends])
-        return flat, total[upto] - total[upto - np.array(counts, np.int64)] if counts else np.zeros(0, np.int64)
+            heads.append(own[0])
+            own[0] = "a"  # its place is filled from the heads
+            pieces += own
+        counts = np.array(counts, np.int64)
+        k = np.fromiter(map(self.after[0].__getitem__, pieces), np.int64, len(pieces))
+        h = np.fromiter(map(self.first[0].__getitem__, heads), np.int64, len(heads))
+        self._learn()
+        upto = np.cumsum(counts)
+        full = counts > 0
+        at = (upto - counts)[full]
+        head_flat, head_sizes = self.first[1].get(h)
+        rest = np.delete(k, at)
+        flat, sizes = self.after[1].get(rest)
+        all_sizes = np.zeros(len(k), np.int64)
+        inner = np.ones(len(k), bool)
+        inner[at] = False
+        all_sizes[inner], all_sizes[at] = sizes, head_sizes
+        total = np.concatenate([[0], np.cumsum(all_sizes)])
+        out = np.empty(int(total[-1]), np.uint32)
+        is_head = np.repeat(~inner, all_sizes)
+        out[is_head], out[~is_head] = head_flat, flat
+        return out, total[upto] - total[upto - counts]
 
 
 _coders: dict[str, Coder] = {}
