@@ -3,7 +3,8 @@
 A byte goes if a string of LEAST bytes that covers it also starts in a document with a smaller doc_id.
 
 Every LEAST-byte string is keyed by the smallest hash of its K-byte strings (a minimizer): equal strings have equal keys, and
-neighbours mostly share one. A maximal run of string starts with one key is a segment. Texts are packed into chunks; then
+neighbours mostly share one. A maximal run of string starts with one key is a
+segment (a run of more than LONGEST, several). Texts are packed into chunks; then
 
 1. each chunk sends its distinct keys, with counts, to buckets (ranges of the key), and gets back two bits a key: is it in another
    chunk as well, and is it so frequent that its segments need to be spread further;
@@ -37,6 +38,8 @@ from .common import arrow_bytes, chunks, mixed, open_chunk, pack_sorted, ready,
 from .exchange import bucket_edges, by_key, collected, dealt, rows_of
 
 LEAST, K = 50, 16
+#: Most strings of a segment.
+LONGEST = 96
 
 @dataclass(frozen=True)
 class Plan:
@@ -92,8 +95,13 @@ class Segments:
         new = valid[:-1].copy()
         new[1:] &= ~valid[:-2] | (m[1:] != m[:-1])
         last = valid[:-1] & (~valid[1:] | np.concatenate([new[1:], [True]]))
-        self.start = np.flatnonzero(new)
-        self.strings = np.flatnonzero(last) - self.start + 1
+        start = np.flatnonzero(new)
+        strings = np.flatnonzero(last) - start + 1
+        # A text that repeats one short string has one key for long; pieces of it are mostly equal, and suffixes stay short.
+        parts = -(-strings // LONGEST)
+        step = (np.arange(int(parts.sum())) - np.repeat(np.cumsum(parts) - parts, parts)) * LONGEST
+        self.start = np.repeat(start, parts) + step
+        self.strings = np.minimum(np.repeat(strings, parts) - step, LONGEST)
         self.key = m[self.start]
         self.doc = np.searchsorted(ends, self.start, side="right")
 
