@@ -51,7 +51,7 @@ class Plan:
     key_bucket: int = 32 << 20
     content_bucket: int = 8 << 20
     #: From more than this many segments on, a key's strings are spread one by one.
-    frequent: int = 50_000
+    frequent: int = 2_000
     #: Symbols of one suffix array, about; a key's contents stay together.
     array: int = 1 << 20
 
@@ -154,44 +154,64 @@ def _marks(seg: Segments, answers: list | None, buckets: int) -> tuple[np.ndarra
 
 
 class Units:
-    """A chunk's distinct contents that may repeat, by key: key, content, smallest doc_id; and the uses: start, doc_id, unit."""
+    """A chunk's distinct contents that may repeat, by key: key, content, smallest doc_id. A frequent segment is its strings, one unit each.
+
+    Strings of all units stand in a row; a use (start, doc_id) of a segment has its strings' places there.
+    """
 
     def __init__(self, ids: list[int | None], body: bytes, seg: Segments, answers: list | None, buckets: int):
         shared, frequent = _marks(seg, answers, buckets)
-        numbers: dict[bytes, int] = {}
-        keys: list[int] = []
+        at = np.flatnonzero(shared)
+        whole: dict[bytes, int] = {}  # distinct segments
         least: list[int] = []
-        uses: list[tuple[int, int, int]] = []
-
-        def use(key: int | None, start: int, size: int, doc_id: int) -> None:
-            content = body[start : start + size]
-            n = numbers.get(content)
+        known: list[tuple[int, bool]] = []
+        which: list[int] = []
+        doc_ids = [ids[d] for d in seg.doc[at].tolist()]
+        for start, strings, key, spread, doc_id in zip(seg.start[at].tolist(), seg.strings[at].tolist(), seg.key[at].tolist(), frequent[at].tolist(), doc_ids, strict=True):
+            content = body[start : start + strings + LEAST - 1]
+            n = whole.get(content)
             if n is None:
-                n = numbers[content] = len(keys)
-                keys.append(xxhash.xxh64_intdigest(content) if key is None else key)
+                n = whole[content] = len(least)
                 least.append(doc_id)
+                known.append((key, spread))
             elif doc_id < least[n]:
                 least[n] = doc_id
-            uses.append((start, doc_id, n))
-
-        at = np.flatnonzero(shared)
-        for start, strings, key, doc, spread in zip(seg.start[at].tolist(), seg.strings[at].tolist(), seg.key[at].tolist(), seg.doc[at].tolist(), frequent[at].tolist(), strict=True):
-            if spread:
-                for p in range(start, start + strings):
-                    use(None, p, LEAST, ids[doc])
-            else:
-                use(key, start, strings + LEAST - 1, ids[doc])
-        k = np.array(keys, np.uint64)
-        content = list(numbers)
-        order = sorted(range(len(keys)), key=lambda n: (keys[n], content[n]))
-        self.keys = k[order] if len(k) else k
-        self.contents = [content[n] for n in order]
-        self.least = np.array([least[n] for n in order], np.int64)
+            which.append(n)
+        units: dict[bytes, int] = {}
+        keys: list[int] = []
+        unit_least: list[int] = []
+        parts: list[list[int]] = []
+        for content, first, (key, spread) in zip(whole, least, known, strict=True):
+            own = []
+            for c in [content[p : p + LEAST] for p in range(len(content) - LEAST + 1)] if spread else [content]:
+                n = units.get(c)
+                if n is None:
+                    n = units[c] = len(keys)
+                    keys.append(xxhash.xxh64_intdigest(c) if spread else key)
+                    unit_least.append(first)
+                elif first < unit_least[n]:
+                    unit_least[n] = first
+                own.append(n)
+            parts.append(own)
+        texts = list(units)
+        order = sorted(range(len(keys)), key=lambda n: (keys[n], texts[n]))
+        self.keys = np.array([keys[n] for n in order], np.uint64)
+        self.contents = [texts[n] for n in order]
+        self.least = np.array([unit_least[n] for n in order], np.int64)
+        self.strings = np.array([len(c) - LEAST + 1 for c in self.contents], np.int64)
+        self.first = np.concatenate([[0], np.cumsum(self.strings)])
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
-        u = np.array(uses, np.int64).reshape(-1, 3)
-        self.start, self.doc_id, self.unit = u[:, 0], u[:, 1], place[u[:, 2]] if len(u) else u[:, 2]
-        self.strings = np.array([len(c) - LEAST + 1 for c in self.contents], np.int64)
+        # places of each distinct segment's strings: of a run in one unit, or of one unit a string
+        spots = [np.arange(self.first[place[own[0]]], self.first[place[own[0]] + 1]) if not spread else self.first[place[own]] for own, (_, spread) in zip(parts, known, strict=True)]
+        size = np.array([len(x) for x in spots], np.int64)
+        flat = np.concatenate(spots) if spots else np.zeros(0, np.int64)
+        which = np.array(which, np.int64)
+        count = size[which]
+        self.step = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+        self.use = np.repeat(np.arange(len(which)), count)
+        self.spot = flat[(np.cumsum(size) - size)[which][self.use] + self.step]
+        self.start, self.doc_id = seg.start[at], np.array(doc_ids, np.int64)
 
 
 def _send_units(chunk_rows: DataFrame, key_buckets: int, buckets: int, plan: Plan) -> DataFrame:
@@ -290,21 +310,17 @@ def _mark(held: list[int], contents: list[bytes], least: np.ndarray, flags: list
     diverse = esa.left_diverse(symbols, sa, lo, hi)
     place = np.flatnonzero(deepest >= 0)
     group = deepest[place]
+    spans: list[tuple[np.ndarray, np.ndarray]] = []
     while len(place):
         # up to the longest maximal repeat here that a document with a smaller id has, too
         up = ~diverse[group] | (smallest[group] >= by_place[place])
-        done = ~up
-        at = sa[place[done]]
-        edge_from, edge_to = at, at + length[group[done]] - LEAST + 1
-        if len(at):
-            np.add.at(_edges := np.zeros(len(symbols) + 1, np.int64), edge_from, 1)
-            np.add.at(_edges, edge_to, -1)
-            on = np.cumsum(_edges) > 0
-            for k in np.unique(text[at]).tolist():
-                flags[held[k]] |= on[starts[k] : starts[k] + len(flags[held[k]])]
+        spans.append((sa[place[~up]], length[group[~up]] - LEAST + 1))
         place, group = place[up], parent[group[up]]
         rest = group >= 0
         place, group = place[rest], group[rest]
+    on = esa.covered(np.concatenate([x for x, _ in spans]), np.concatenate([x for _, x in spans]), len(symbols))
+    for k, n in enumerate(held):
+        flags[n] |= on[starts[k] : starts[k] + len(flags[n])]
 
 
 def _range_min(x: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
@@ -324,18 +340,14 @@ def _removed(row: dict, key_buckets: int, buckets: int) -> tuple[list, np.ndarra
     """A chunk's ids, sizes, body, and the mask of its removed bytes."""
     ids, sizes, body = open_chunk(row["ids"], row["sizes"], row["body"])
     u = Units(ids, body, Segments(ids, sizes, body), row["answers"], key_buckets)
-    at = np.concatenate([[0], np.cumsum(u.strings)])
-    on = np.zeros(int(at[-1]), bool)
+    on = np.zeros(int(u.first[-1]), bool)
     edges = bucket_edges(u.keys, buckets)
     for x in row["bits"] or []:
-        a, b = at[edges[x["bucket"]]], at[edges[x["bucket"] + 1]]
+        a, b = u.first[edges[x["bucket"]]], u.first[edges[x["bucket"] + 1]]
         on[a:b] = np.unpackbits(np.frombuffer(unsqueeze(x["bits"]), np.uint8), count=int(b - a)).astype(bool)
-    # each use's strings: all of them where this chunk has the content in a smaller document, else the bits
-    count = u.strings[u.unit]
-    which = np.repeat(np.arange(len(count)), count)
-    step = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
-    gone = (u.doc_id > u.least[u.unit])[which] | on[at[u.unit][which] + step]
-    starts = (u.start[which] + step)[gone]
+    # a string goes where this chunk has it in a smaller document, or its bit says so
+    gone = (u.doc_id[u.use] > np.repeat(u.least, u.strings)[u.spot]) | on[u.spot]
+    starts = (u.start[u.use] + u.step)[gone]
     return ids, sizes, body, esa.covered(starts, np.full(len(starts), LEAST, np.int64), len(body))
 
 
