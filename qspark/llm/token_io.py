@@ -40,30 +40,35 @@ def encode(ids: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray,
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     at = np.arange(n, dtype=np.int64)
     firsts = np.arange(0, n, block)
-    limit = np.minimum((at // block + 1) * block, n)
-    choice = np.zeros(n, np.int64)
+    room = np.minimum(np.tile(np.arange(block, 0, -1, dtype=np.int32), len(firsts))[:n], (n - at).astype(np.int32))
+    choice = np.zeros(n, np.int8)
     for s in range(14, 0, -1):  # small counts first, so that the largest that fits stays
-        if s == 14:
-            fits = ids < np.uint64(1 << 60)
-            choice[fits] = 14
+        c = int(COUNTS[s])
+        if c > n:
             continue
-        over = np.where(ids >= np.uint64(1 << int(WIDTHS[s])), at, n)
-        nxt = np.minimum.accumulate(over[::-1])[::-1]
-        choice[np.minimum(nxt, limit) - at >= COUNTS[s]] = s
+        ok = ids < np.uint64(1 << int(WIDTHS[s]))
+        if not ok.any():
+            continue
+        run = 1  # do all ids of a word's length fit? By doubling, on bytes
+        while 2 * run <= c:
+            ok = ok[:-run] & ok[run:]
+            run *= 2
+        if run < c:
+            ok = ok[: len(ok) - (c - run)] & ok[c - run :]
+        np.copyto(choice[: n - c + 1], s, where=ok & (room[: n - c + 1] >= c))
     hop = COUNTS[choice]
-    pos, rows = firsts.copy(), []
+    pos, begins = firsts.copy(), np.zeros(n, bool)
     end = np.minimum(firsts + block, n)
     while len(pos):
-        rows.append(pos)
+        begins[pos] = True
         pos = pos + hop[pos]
         more = pos < end
         pos, end = pos[more], end[more]
-    starts = np.sort(np.concatenate(rows))
-    sel = choice[starts]
+    starts = np.flatnonzero(begins)
+    sel = choice[starts].astype(np.int64)
     count = COUNTS[sel]
-    word = np.repeat(np.arange(len(starts)), count)
-    shift = (at - starts[word]) * WIDTHS[sel][word]
-    value = np.where(sel[word] > 0, ids << shift.astype(np.uint64), 0).astype(np.uint64)
+    value = ids << ((at - np.repeat(starts, count)) * np.repeat(WIDTHS[sel], count)).astype(np.uint64)
+    value[starts[sel == 0]] = 0
     words = np.bitwise_or.reduceat(value, starts) | (sel.astype(np.uint64) << np.uint64(60))
     escape = np.flatnonzero(sel == 0)
     before = np.searchsorted(escape, np.arange(len(starts) + 1))  # escapes before each word
