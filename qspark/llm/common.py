@@ -113,15 +113,17 @@ def shingle_hashes(codes: np.ndarray, n: int) -> np.ndarray:
     return h
 
 
-def word_windows(lists: list[list[bytes]], n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all n-word windows of each word list, and where each list's windows start (one more at the end)."""
-    counts = np.array([len(x) for x in lists], np.int64)
-    flat = [w for x in lists for w in x]
-    starts = np.concatenate([[0], np.cumsum(counts)])
-    h = shingle_hashes(word_codes(flat), n)
+def windows_of(codes: np.ndarray, counts: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all n-word windows within lists of `counts` codes each, and where each list's windows start (one more at the end)."""
+    starts = np.cumsum(counts) - counts
+    h = shingle_hashes(codes, n)
     have = np.maximum(counts - n + 1, 0)
-    keep = np.repeat(starts[:-1], have) + (np.arange(have.sum()) - np.repeat(np.cumsum(have) - have, have))
-    return h[keep], np.concatenate([[0], np.cumsum(have)])
+    at = np.concatenate([[0], np.cumsum(have)])
+    return h[np.repeat(starts - at[:-1], have) + np.arange(at[-1])], at
+
+
+def word_windows(lists: list[list[bytes]], n: int) -> tuple[np.ndarray, np.ndarray]:
+    return windows_of(word_codes([w for x in lists for w in x]), np.array([len(x) for x in lists], np.int64), n)
 
 
 _zc, _zd = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()

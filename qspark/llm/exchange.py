@@ -16,8 +16,10 @@ def bucket_edges(keys: np.ndarray, buckets: int) -> np.ndarray:
 
 
 def rows_of(batches):
+    """Rows as dicts, one at a time: a row holds a whole chunk."""
     for batch in batches:
-        yield from batch.to_pylist()
+        for k in range(batch.num_rows):
+            yield batch.slice(k, 1).to_pylist()[0]
 
 
 def dealt(sent: DataFrame) -> DataFrame:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_bytes, chunks, open_chunk, pack_sorted, ready, squeeze, stage, unpack_sorted, unsqueeze, word_windows
+from .common import arrow_bytes, chunks, open_chunk, pack_sorted, ready, squeeze, stage, unpack_sorted, unsqueeze, windows_of, word_codes
 from .exchange import bucket_edges, by_key, collected, dealt, rows_of
 
 ORDER, ALPHA = 2, 0.4
@@ -34,13 +34,15 @@ class Grams:
         ends = np.cumsum(sizes)
         lists = [body[e - s : e].translate(_LOWER).split() for e, s in zip(ends.tolist(), sizes.tolist(), strict=True)]
         self.words = np.array([len(x) for x in lists], np.int64)
-        own = []
-        self.starts = []
+        codes = word_codes([w for x in lists for w in x])
+        own, self.starts = [], []
         for n in range(1, order + 1):
-            h, at = word_windows(lists, n)
+            h, at = windows_of(codes, self.words, n)
             own.append(h ^ _SALT[n])
             self.starts.append(at)
-        self.keys = np.unique(np.concatenate(own)) if own else np.zeros(0, np.uint64)
+        every = np.concatenate(own)
+        every.sort()
+        self.keys = every[np.concatenate([[True], every[1:] != every[:-1]])] if len(every) else every
         self.places = [np.searchsorted(self.keys, h) for h in own]
 
     def counts(self) -> np.ndarray:
