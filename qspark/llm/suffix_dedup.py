@@ -37,7 +37,7 @@ from . import esa
 from .common import arrow_bytes, chunks, mixed, open_chunk, pack_sorted, ready, squeeze, stage, unpack_sorted, unsqueeze
 from .exchange import bucket_edges, by_key, collected, dealt, rows_of
 
-LEAST, K = 50, 16
+LEAST, K = 50, 24
 #: Most strings of a segment.
 LONGEST = 96
 
@@ -48,12 +48,12 @@ class Plan:
     #: Raw text bytes of a chunk.
     chunk: int = 4 << 20
     #: Raw text bytes behind a bucket of keys, and behind one of contents.
-    key_bucket: int = 32 << 20
-    content_bucket: int = 8 << 20
+    key_bucket: int = 8 << 20
+    content_bucket: int = 6 << 20
     #: From more than this many segments on, a key's strings are spread one by one.
     frequent: int = 2_000
     #: Symbols of one suffix array, about; a key's contents stay together.
-    array: int = 1 << 20
+    array: int = 1 << 18
 
 
 def key_minima(body: np.ndarray) -> np.ndarray:
@@ -66,7 +66,8 @@ def key_minima(body: np.ndarray) -> np.ndarray:
         x = b.astype(np.uint64)
         for s in (1, 2, 4):
             x = x[:-s] | x[s:] << np.uint64(8 * s)
-        h = mixed(x[: len(b) - K + 1] * np.uint64(0x9E3779B97F4A7C15) + mixed(x[8 : 8 + len(b) - K + 1]))
+        m = len(b) - K + 1
+        h = mixed(x[:m] * np.uint64(0x9E3779B97F4A7C15) + mixed(x[8 : 8 + m] * np.uint64(0xC2B2AE3D27D4EB4F) + mixed(x[16 : 16 + m])))
         size = 1
         while size * 2 <= w:
             h = np.minimum(h[:-size], h[size:])
@@ -194,23 +195,29 @@ class Units:
                 own.append(n)
             parts.append(own)
         texts = list(units)
-        order = sorted(range(len(keys)), key=lambda n: (keys[n], texts[n]))
-        self.keys = np.array([keys[n] for n in order], np.uint64)
-        self.contents = [texts[n] for n in order]
-        self.least = np.array([unit_least[n] for n in order], np.int64)
+        raw_keys = np.array(keys, np.uint64)
+        order = np.argsort(raw_keys, kind="stable")  # the same each time, as the chunk is
+        self.keys = raw_keys[order]
+        self.contents = [texts[n] for n in order.tolist()]
+        self.least = np.array(unit_least, np.int64)[order]
         self.strings = np.array([len(c) - LEAST + 1 for c in self.contents], np.int64)
         self.first = np.concatenate([[0], np.cumsum(self.strings)])
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
-        # places of each distinct segment's strings: of a run in one unit, or of one unit a string
-        spots = [np.arange(self.first[place[own[0]]], self.first[place[own[0]] + 1]) if not spread else self.first[place[own]] for own, (_, spread) in zip(parts, known, strict=True)]
-        size = np.array([len(x) for x in spots], np.int64)
-        flat = np.concatenate(spots) if spots else np.zeros(0, np.int64)
+        # Places of a distinct segment's strings: a run in its unit, or one unit a string.
+        spread = np.array([x for _, x in known], bool)
+        size = np.array([len(c) - LEAST + 1 for c in whole], np.int64)
+        head = self.first[place[np.array([own[0] for own in parts], np.int64)]] if parts else np.zeros(0, np.int64)
+        apart = [self.first[place[own]] for own, x in zip(parts, spread.tolist(), strict=True) if x]
+        flat = np.concatenate(apart) if apart else np.zeros(1, np.int64)
+        own_size = np.where(spread, size, 0)
+        at_flat = np.cumsum(own_size) - own_size
         which = np.array(which, np.int64)
         count = size[which]
         self.step = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
         self.use = np.repeat(np.arange(len(which)), count)
-        self.spot = flat[(np.cumsum(size) - size)[which][self.use] + self.step]
+        n = which[self.use]
+        self.spot = np.where(spread[n], flat[np.where(spread[n], at_flat[n] + self.step, 0)], head[n] + self.step)
         self.start, self.doc_id = seg.start[at], np.array(doc_ids, np.int64)
 
 
