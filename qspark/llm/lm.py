@@ -28,32 +28,39 @@ _SALT = [np.uint64(0), np.uint64(0), np.uint64(0x5851F42D4C957F2D), np.uint64(0x
 
 
 class Grams:
-    """The n-grams of one chunk: distinct hashes in order, and for each order n the place of each document's n-grams among them."""
+    """The n-grams of one chunk: distinct hashes in order with their counts; with `places`, for each order n also where each document's n-grams are among them, and how often each is in its own document."""
 
-    def __init__(self, sizes: np.ndarray, body: bytes, order: int):
+    def __init__(self, sizes: np.ndarray, body: bytes, order: int, places: bool = False):
         ends = np.cumsum(sizes)
         lists = [body[e - s : e].translate(_LOWER).split() for e, s in zip(ends.tolist(), sizes.tolist(), strict=True)]
         self.words = np.array([len(x) for x in lists], np.int64)
         codes = word_codes([w for x in lists for w in x])
+        del lists
         own, self.starts = [], []
         for n in range(1, order + 1):
             h, at = windows_of(codes, self.words, n)
             own.append(h ^ _SALT[n])
             self.starts.append(at)
-        every = np.concatenate(own)
-        every.sort()
-        self.keys = every[np.concatenate([[True], every[1:] != every[:-1]])] if len(every) else every
-        self.places = [np.searchsorted(self.keys, h) for h in own]
-
-    def counts(self) -> np.ndarray:
-        return sum(np.bincount(p, minlength=len(self.keys)) for p in self.places).astype(np.int64)
-
-
-def _own_counts(place: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
-    """How often each n-gram is in its own document."""
-    k = doc * n + place
-    u, inverse, count = np.unique(k, return_inverse=True, return_counts=True)
-    return count[inverse]
+        every, cuts = np.concatenate(own), np.cumsum([len(h) for h in own])[:-1]
+        del own
+        if places:
+            by = np.argsort(every, kind="stable")  # equal n-grams stay in the order of documents
+            every = every[by]
+        else:
+            every.sort()
+        new = np.ones(len(every), bool)
+        new[1:] = every[1:] != every[:-1]
+        first = np.flatnonzero(new)
+        self.keys = every[first]
+        self.counts = np.diff(first, append=len(every))
+        if places:
+            doc = np.concatenate([np.repeat(np.arange(len(sizes), dtype=np.int32), np.diff(at)) for at in self.starts])[by]
+            place, often = np.empty(len(every), np.int32), np.empty(len(every), np.int32)
+            place[by] = np.cumsum(new) - 1
+            new[1:] |= doc[1:] != doc[:-1]
+            runs = np.diff(np.flatnonzero(new), append=len(every))
+            often[by] = np.repeat(runs, runs)
+            self.places, self.own = np.split(place, cuts), np.split(often, cuts)
 
 
 def log_scores(g: Grams, total: np.ndarray, corpus: int, order: int, alpha: float, leave_own_out: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -61,9 +68,8 @@ def log_scores(g: Grams, total: np.ndarray, corpus: int, order: int, alpha: floa
     docs = len(g.words)
     counts = []
     for n in range(order):
-        doc = np.repeat(np.arange(docs), np.diff(g.starts[n]))
         c = total[g.places[n]]
-        counts.append(c - _own_counts(g.places[n], doc, len(g.keys)) if leave_own_out else c)
+        counts.append(c - g.own[n] if leave_own_out else c)
     doc = np.repeat(np.arange(docs), g.words)
     first = g.starts[0][:-1][doc]
     at = np.arange(len(doc)) - first  # word's place in its document
@@ -94,7 +100,7 @@ def scores(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, leave_own_
         for row in rows_of(batches):
             _, sizes, body = open_chunk(row["ids"], row["sizes"], row["body"])
             g = Grams(sizes, body, order)
-            counts, edges = g.counts(), bucket_edges(g.keys, buckets)
+            counts, edges = g.counts, bucket_edges(g.keys, buckets)
             full = [b for b in range(buckets) if edges[b + 1] > edges[b]]
             cut = [slice(edges[b], edges[b + 1]) for b in full]
             words = [int(g.words.sum())] + [0] * (len(full) - 1)
@@ -104,15 +110,17 @@ def scores(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, leave_own_
     def table(batches):
         for t in by_key(batches):
             own = [unpack_sorted(x) for x in t.column("keys").to_pylist()]
-            counts = [np.frombuffer(unsqueeze(x), np.uint32) for x in t.column("counts").to_pylist()]
             every = np.concatenate(own)
             every.sort()
             u = every[np.concatenate([[True], every[1:] != every[:-1]])]
             del every
             total = np.zeros(len(u), np.int64)
-            at = [np.searchsorted(u, x) for x in own]
-            for k, c in zip(at, counts, strict=True):
-                total[k] += c
+            at = []
+            for k, x in enumerate(t.column("counts")):
+                at.append(np.searchsorted(u, own[k]).astype(np.int32))
+                own[k] = None
+                total[at[k]] += np.frombuffer(unsqueeze(x.as_py()), np.uint32)
+            del own, u
             yield pa.RecordBatch.from_arrays([t.column("chunk").combine_chunks(), pa.array([t.column("key")[0].as_py()] * len(at), pa.int32()), arrow_bytes([squeeze(np.ascontiguousarray(total[k].view(np.uint8).reshape(-1, 8).T).tobytes()) for k in at]), t.column("words").combine_chunks()], names=["chunk", "bucket", "bits", "words"])
 
     sent = packed.mapInArrow(send, "key int, chunk long, keys binary, counts binary, words long")
@@ -123,7 +131,7 @@ def scores(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, leave_own_
     def score(batches):
         for row in rows_of(batches):
             ids, sizes, body = open_chunk(row["ids"], row["sizes"], row["body"])
-            g = Grams(sizes, body, order)
+            g = Grams(sizes, body, order, places=True)
             edges = bucket_edges(g.keys, buckets)
             total = np.zeros(len(g.keys), np.int64)
             for x in row["answers"] or []:
@@ -149,3 +157,22 @@ r AS (SELECT doc_id, sum(ln(CASE WHEN p IS NOT NULL AND c2 > 0 THEN c2 / cp ELSE
     count(*) FILTER (CASE WHEN p IS NULL THEN c1 > 0 ELSE c2 > 0 END) AS f FROM s GROUP BY 1)
 SELECT d.doc_id, CAST(len(l) AS BIGINT) AS n_words, CAST(coalesce(f, 0) AS BIGINT) AS n_full, round(x / len(l), 6) AS mean_log FROM d LEFT JOIN r ON r.doc_id = d.doc_id
 """
+
+#: The same for order 3.
+TRIGRAM_SQL = r"""
+WITH d AS (SELECT doc_id, list_filter(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x09-\x0D\x20]+'), lambda x: x <> '') AS l FROM documents),
+w AS (SELECT doc_id, k, l[k] AS g, CASE WHEN k > 1 THEN l[k - 1] END AS p, CASE WHEN k > 2 THEN l[k - 2] END AS q FROM (SELECT doc_id, l, unnest(generate_series(1, len(l))) AS k FROM d WHERE len(l) > 0)),
+u AS (SELECT *, sum(c) OVER (PARTITION BY g) AS a FROM (SELECT doc_id, g, count(*) AS c FROM w GROUP BY 1, 2)),
+b AS (SELECT *, sum(c) OVER (PARTITION BY p, g) AS a FROM (SELECT doc_id, p, g, count(*) AS c FROM w WHERE p IS NOT NULL GROUP BY 1, 2, 3)),
+x AS (SELECT *, sum(c) OVER (PARTITION BY q, p, g) AS a FROM (SELECT doc_id, q, p, g, count(*) AS c FROM w WHERE q IS NOT NULL GROUP BY 1, 2, 3, 4)),
+t AS (SELECT doc_id, count(*) AS n FROM w GROUP BY 1),
+s AS (SELECT w.doc_id, ug.a - ug.c AS c1, b.a - b.c AS c2, x.a - x.c AS c3, up.a - up.c AS cp, bp.a - bp.c AS cq, (SELECT sum(n) FROM t) - t.n AS rest, w.p, w.q
+    FROM w JOIN t ON t.doc_id = w.doc_id JOIN u ug ON ug.doc_id = w.doc_id AND ug.g = w.g
+    LEFT JOIN b ON b.doc_id = w.doc_id AND b.p = w.p AND b.g = w.g LEFT JOIN u up ON up.doc_id = w.doc_id AND up.g = w.p
+    LEFT JOIN x ON x.doc_id = w.doc_id AND x.q = w.q AND x.p = w.p AND x.g = w.g LEFT JOIN b bp ON bp.doc_id = w.doc_id AND bp.p = w.q AND bp.g = w.p),
+r AS (SELECT doc_id, sum(ln(CASE WHEN q IS NOT NULL AND c3 > 0 THEN c3 / cq
+        WHEN p IS NOT NULL AND c2 > 0 THEN (CASE WHEN q IS NULL THEN 1 ELSE 0.4 END) * c2 / cp
+        ELSE (CASE WHEN p IS NULL THEN 1 WHEN q IS NULL THEN 0.4 ELSE 0.16 END) * (CASE WHEN c1 > 0 THEN c1 ELSE 0.5 END) / greatest(rest, 1) END)) AS y,
+    count(*) FILTER (CASE WHEN p IS NULL THEN c1 > 0 WHEN q IS NULL THEN c2 > 0 ELSE c3 > 0 END) AS f FROM s GROUP BY 1)
+SELECT d.doc_id, CAST(len(l) AS BIGINT) AS n_words, CAST(coalesce(f, 0) AS BIGINT) AS n_full, round(y / len(l), 6) AS mean_log FROM d LEFT JOIN r ON r.doc_id = d.doc_id
+"""

@@ -73,6 +73,14 @@ def op7_token_files(spark, d):
     return token_io.read_tokens(token_io.write_tokens(table(spark, d, "documents"), tokenizer(), end_id=2))
 
 
+@query
+def op8_trigram_scores(spark, d):
+    return lm.scores(table(spark, d, "documents"), order=3).select("doc_id", "n_words", "n_full", F.round("mean_log", 6).alias("mean_log"))
+
+
+ORACLES["op8_trigram_scores"] = lm.TRIGRAM_SQL
+
+
 @query
 def op8_backoff_scores(spark, d):
     return lm.scores(table(spark, d, "documents")).select("doc_id", "n_words", "n_full", F.round("mean_log", 6).alias("mean_log"))

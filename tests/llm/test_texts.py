@@ -107,6 +107,27 @@ def test_backoff(spark, odd, chunk, bucket):
     assert lm.scores(odd.limit(0)).count() == 0
 
 
+def test_backoff_trigrams(spark, odd, tmp_path):
+    from collections import Counter
+
+    odd.where("doc_id <> 8 or doc_id is null").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = {r["doc_id"]: re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), r["text"] or "")) for r in odd.collect() if r["doc_id"] != 8}
+    grams = lambda x: Counter(tuple(x[k : k + n]) for n in (1, 2, 3) for k in range(len(x) - n + 1))
+    total = sum((grams(x) for x in rows.values()), Counter())
+    got = {r["doc_id"]: r for r in queries.op8_trigram_scores(spark, str(tmp_path)).collect()}
+    assert got.keys() == rows.keys()
+    for d, x in rows.items():
+        left, rest, s, full = total - grams(x), sum(map(len, rows.values())) - len(x), 0.0, 0
+        for k in range(len(x)):
+            n = next((n for n in range(min(k + 1, 3), 0, -1) if left[tuple(x[k - n + 1 : k + 1])]), 0)
+            full += n == min(k + 1, 3)
+            seen = left[tuple(x[k - n + 1 : k + 1])] if n else 0.5
+            s += math.log(0.4 ** (min(k + 1, 3) - max(n, 1)) * seen / (left[tuple(x[k - n + 1 : k])] if n > 1 else max(rest, 1)))
+        assert (got[d]["n_words"], got[d]["n_full"]) == (len(x), full)
+        assert got[d]["mean_log"] == (pytest.approx(s / len(x), abs=2e-6) if x else None)
+    assert 0 < got[1]["n_full"] == got[1]["n_words"]  # its copies support every trigram
+
+
 def test_chat(spark):
     rows = [(1, "chosen", 0, "user", "hi"), (1, "chosen", 1, "assistant", "good"), (1, "rejected", 0, "user", "hi"), (1, "rejected", 1, "assistant", "bad"), (1, "rejected", 2, "user", None),
             (2, "chosen", None, None, None), (2, "rejected", None, None, None), (2, "rejected", 0, "assistant", ""), (3, "chosen", 0, "user", "alone"), (None, "chosen", 0, "user", "x"),
