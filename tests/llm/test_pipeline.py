@@ -37,6 +37,20 @@ def test_stages(spark, tmp_path):
     assert {r["doc_id"] for r in packed} == set(at["decontamination"])
 
 
+def test_foreign_and_gibberish(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select(*corpus_pipeline.COLUMNS)
+    letters = random.Random(7)
+    planted = [
+        "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem.",
+        "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto.",
+        "Tất cả mọi người sinh ra đều được tự do và bình đẳng về nhân phẩm và quyền lợi.",
+        *(" ".join("".join(letters.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(letters.randint(2, 9))) for _ in range(n)) for n in (5, 30, 400, 4000)),
+    ]
+    rows = spark.createDataFrame([(10**9 + k, t, None, "planted", len(t)) for k, t in enumerate(planted)], SCHEMA)
+    kept = {r["doc_id"] for r in corpus_pipeline.language(spark, docs.unionByName(rows), "").select("doc_id").collect()}
+    assert kept == {r["doc_id"] for r in docs.select("doc_id").collect()}
+
+
 def test_empty(spark, tmp_path):
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     docs = spark.createDataFrame([], SCHEMA)
