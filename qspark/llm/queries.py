@@ -43,6 +43,16 @@ def op2_near_duplicates(spark, d):
     return minhash.near_duplicates(table(spark, d, "documents"), n=4, percent=80)
 
 
+@query
+def op3_preference_records(spark, d):
+    records = chat.assemble(chat.preference(chat.all_pairs(table(spark, d, "conversations"))))
+    spans = (F.col(f"{side}_loss.{of}").alias(f"{side}_{of}s") for side in ("chosen", "rejected") for of in ("start", "length"))
+    return records.select("pair_id", "prompt", "chosen", "rejected", *spans)
+
+
+ORACLES["op3_preference_records"] = chat.RECORDS_SQL
+
+
 @query
 def op3_preference(spark, d):
     return chat.preference(chat.pairs(table(spark, d, "conversations")))

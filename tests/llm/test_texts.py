@@ -142,6 +142,21 @@ def test_chat(spark):
     assert "Python" not in parts._jdf.queryExecution().executedPlan().toString()
 
 
+def test_all_pairs(spark, tmp_path):
+    answers = {0: "a0", 1: "a1", 2: "a2", 5: "a5", 8: "a8"}  # 3 has none
+    partner = {0: 1, 1: 0, 2: 5, 5: 2, 8: 0}
+    rows = [(k, 0, "user", f"q{k}") for k in (0, 1, 2, 3, 5, 8)] + [(k, 1, "assistant", a) for k, a in answers.items()] + [(2, 2, "user", "thanks"), (None, 1, "assistant", "x")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r["pair_id"]: r for r in queries.op3_preference_records(spark, str(tmp_path)).collect()}
+    assert got.keys() == answers.keys()
+    for k, r in got.items():
+        own, theirs = (f"<|assistant|>\n{answers[x]}\n<|end|>\n" for x in (k, partner[k]))
+        assert (r["prompt"], r["rejected"]) == (f"<|user|>\nq{k}\n<|end|>\n", theirs) and r["chosen"].startswith(own)
+        assert (r["chosen_starts"], r["chosen_lengths"], r["rejected_lengths"]) == ([0], [len(own)], [len(theirs)])
+    one = spark.createDataFrame([(3, 0, "assistant", "a")], "conv_id long, turn long, role string, text string")
+    assert chat.all_pairs(one).count() == 0 and chat.all_pairs(one.limit(0)).count() == 0
+
+
 @pytest.mark.parametrize("name", list(queries.ORACLES))
 def test_sql(spark, name):
     from tests.test_registry import table
