@@ -30,29 +30,42 @@ def ready(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; only where it is unset (tests), a folder of this machine."""
+    """The folder in spark.checkpoint.dir; only where it is unset and all runs on this machine (tests), a folder of it."""
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not found:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = tempfile.mkdtemp(prefix="qspark-")
         sc.setCheckpointDir(found)
     return found.rstrip("/")
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def _delete(spark: SparkSession, path: str, table: str | None) -> None:
     try:
+        if table:
+            spark.sql(f"DROP TABLE IF EXISTS {table}")
         p = spark._jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
     except Exception:  # noqa: BLE001  the session may be gone by now
         pass
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write a table into the shared folder and read it again: lineage ends there, and a lost executor costs nothing."""
+def stage(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """Write a table into the shared folder and read it again: lineage ends there, and a lost executor costs nothing.
+
+    With `by` it is bucketed by that column, as many buckets as the session has shuffle partitions, so that joins on it don't
+    shuffle it again.
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/qspark-{name}-{uuid.uuid4().hex}"
+    own = f"qspark_{name}_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{own}"
+    atexit.register(_delete, spark, path, own if by else None)
+    if by:
+        n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        df.write.bucketBy(n, by).option("path", path).saveAsTable(own)
+        return spark.table(own)
     df.write.parquet(path)
-    atexit.register(_delete, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -153,10 +166,11 @@ def arrow_bytes(rows: list[bytes]) -> pa.Array:
     return pa.array(rows, pa.binary())
 
 
-def chunks(docs: DataFrame, most: int) -> DataFrame:
-    """documents → rows of about `most` raw bytes: chunk, raw (bytes), ids, sizes and compressed texts; kept in the shared folder.
+def chunks(docs: DataFrame, most: int, keep: tuple[str, ...] = ()) -> DataFrame:
+    """documents → rows of about `most` raw bytes: chunk, raw (bytes), ids, sizes, compressed texts, and rest (the columns in `keep`); kept in the shared folder.
 
-    A row is the unit that is dealt to tasks later; a longer document makes a chunk of its own.
+    A row is the unit that is dealt to tasks later; a longer document makes a chunk of its own. The table is bucketed by chunk: joins
+    on it don't shuffle it again.
     """
 
     def pack(batches):
@@ -169,10 +183,17 @@ def chunks(docs: DataFrame, most: int) -> DataFrame:
             body, sizes = b"".join(raw), np.array([len(t) for t in raw], np.int64).tobytes()
             with_ids = b",".join(b"" if i is None else b"%d" % i for i in ids.to_pylist())
             key = xxhash.xxh64_intdigest(body, xxhash.xxh64_intdigest(with_ids + sizes)) >> 1
-            return pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), pa.array([len(body)], pa.int64()), arrow_bytes([squeeze(with_ids)]), arrow_bytes([squeeze(sizes)]), arrow_bytes([squeeze(body)])], names=["chunk", "raw", "ids", "sizes", "body"])
+            rest = b""
+            if keep:
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, held[0][2].schema) as w:
+                    for x in held:
+                        w.write_batch(x[2])
+                rest = squeeze(sink.getvalue().to_pybytes())
+            return pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), pa.array([len(body)], pa.int64()), *(arrow_bytes([squeeze(x)]) for x in (with_ids, sizes, body)), arrow_bytes([rest])], names=["chunk", "raw", "ids", "sizes", "body", "rest"])
 
         for batch, texts in steps(batches, most=min(most, STEP_BYTES)):
-            held.append((batch.column(0), texts))
+            held.append((batch.column(0), texts, batch.select(list(keep)) if keep else None))
             size += sum(map(len, texts)) + 16 * len(texts)
             if size >= most:
                 yield out()
@@ -180,9 +201,13 @@ def chunks(docs: DataFrame, most: int) -> DataFrame:
         if held:
             yield out()
 
-    packed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(pack, "chunk long, raw long, ids binary, sizes binary, body binary")
+    packed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *keep).mapInArrow(pack, "chunk long, raw long, ids binary, sizes binary, body binary, rest binary")
     # Two chunks with all the same ids and texts would share a key; a number of the written row tells them apart.
-    return stage(packed.withColumn("chunk", F.xxhash64("chunk", F.monotonically_increasing_id())), "chunks")
+    return stage(packed.withColumn("chunk", F.xxhash64("chunk", F.monotonically_increasing_id())), "chunks", "chunk")
+
+
+def open_rest(rest: bytes) -> pa.Table:
+    return pa.ipc.open_stream(unsqueeze(rest)).read_all()
 
 
 def open_chunk(ids: bytes, sizes: bytes, body: bytes) -> tuple[list[int | None], np.ndarray, bytes]:

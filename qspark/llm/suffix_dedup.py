@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import esa
-from .common import arrow_bytes, chunks, mixed, open_chunk, pack_sorted, ready, squeeze, stage, unpack_sorted, unsqueeze
+from .common import arrow_bytes, chunks, mixed, open_chunk, open_rest, pack_sorted, ready, squeeze, stage, unpack_sorted, unsqueeze
 from .exchange import bucket_edges, by_key, collected, dealt, rows_of
 
 LEAST, K = 50, 24
@@ -154,75 +154,78 @@ def _marks(seg: Segments, answers: list | None, buckets: int) -> tuple[np.ndarra
     return shared[inverse], frequent[inverse]
 
 
+def _distinct(body: bytes, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the byte strings at start: the place of the first of each distinct one, which of these each is, and their 64-bit hashes. Told apart by 128 bits."""
+    view = memoryview(body)
+    digest = xxhash.xxh3_128_digest
+    raw = b"".join([digest(view[a : a + n]) for a, n in zip(start.tolist(), size.tolist(), strict=True)])
+    hashes = np.frombuffer(raw, np.uint64).reshape(-1, 2)
+    order = np.lexsort((hashes[:, 1], hashes[:, 0]))
+    h = hashes[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]).any(axis=1)
+    which = np.empty(len(h), np.int64)
+    which[order] = np.cumsum(new) - 1
+    return order[new], which, h[new, 0]
+
+
+def _runs(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """first[0], first[0] + 1, ... (size[0] of them), first[1], ..."""
+    ends = np.cumsum(size)
+    return np.repeat(first - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)
+
+
 class Units:
-    """A chunk's distinct contents that may repeat, by key: key, content, smallest doc_id. A frequent segment is its strings, one unit each.
+    """A chunk's distinct contents that may repeat, by key: key, start and strings, smallest doc_id, and whether another document of the chunk has it.
 
-    Strings of all units stand in a row; a use (start, doc_id) of a segment has its strings' places there.
+    A segment of a frequent key is its strings, one unit each. Strings of all units stand in a row; `spot` holds the places there of
+    the strings of all uses (start, doc_id), and `use` each one's use.
     """
 
     def __init__(self, ids: list[int | None], body: bytes, seg: Segments, answers: list | None, buckets: int):
         shared, frequent = _marks(seg, answers, buckets)
         at = np.flatnonzero(shared)
-        whole: dict[bytes, int] = {}  # distinct segments
-        least: list[int] = []
-        known: list[tuple[int, bool]] = []
-        which: list[int] = []
-        doc_ids = [ids[d] for d in seg.doc[at].tolist()]
-        for start, strings, key, spread, doc_id in zip(seg.start[at].tolist(), seg.strings[at].tolist(), seg.key[at].tolist(), frequent[at].tolist(), doc_ids, strict=True):
-            content = body[start : start + strings + LEAST - 1]
-            n = whole.get(content)
-            if n is None:
-                n = whole[content] = len(least)
-                least.append(doc_id)
-                known.append((key, spread))
-            elif doc_id < least[n]:
-                least[n] = doc_id
-            which.append(n)
-        units: dict[bytes, int] = {}
-        keys: list[int] = []
-        unit_least: list[int] = []
-        parts: list[list[int]] = []
-        for content, first, (key, spread) in zip(whole, least, known, strict=True):
-            own = []
-            for c in [content[p : p + LEAST] for p in range(len(content) - LEAST + 1)] if spread else [content]:
-                n = units.get(c)
-                if n is None:
-                    n = units[c] = len(keys)
-                    keys.append(xxhash.xxh64_intdigest(c) if spread else key)
-                    unit_least.append(first)
-                elif first < unit_least[n]:
-                    unit_least[n] = first
-                own.append(n)
-            parts.append(own)
-        texts = list(units)
-        raw_keys = np.array(keys, np.uint64)
-        order = np.argsort(raw_keys, kind="stable")  # the same each time, as the chunk is
-        self.keys = raw_keys[order]
-        self.contents = [texts[n] for n in order.tolist()]
-        self.least = np.array(unit_least, np.int64)[order]
-        self.strings = np.array([len(c) - LEAST + 1 for c in self.contents], np.int64)
+        self.start, strings = seg.start[at], seg.strings[at]
+        self.doc_id = np.array([i or 0 for i in ids], np.int64)[seg.doc[at]]
+        # distinct segments
+        one, which, _ = _distinct(body, self.start, strings + (LEAST - 1))
+        low, high = np.full(len(one), 1 << 62, np.int64), np.full(len(one), -(1 << 62), np.int64)
+        np.minimum.at(low, which, self.doc_id)
+        np.maximum.at(high, which, self.doc_id)
+        size, spread, start = strings[one], frequent[at][one], self.start[one]
+        # units: distinct segments, and the distinct strings of those with frequent keys
+        whole, apart = np.flatnonzero(~spread), np.flatnonzero(spread)
+        single = _runs(start[apart], size[apart])
+        first, unit_of, hashes = _distinct(body, single, np.full(len(single), LEAST, np.int64))
+        owner = np.repeat(apart, size[apart])
+        one_low, one_high = np.full(len(first), 1 << 62, np.int64), np.full(len(first), -(1 << 62), np.int64)
+        np.minimum.at(one_low, unit_of, low[owner])
+        np.maximum.at(one_high, unit_of, high[owner])
+        keys = np.concatenate([seg.key[at][one[whole]], hashes])
+        order = np.argsort(keys, kind="stable")  # the same each time, as the chunk is
+        self.keys = keys[order]
+        self.at = np.concatenate([start[whole], single[first]])[order]
+        self.strings = np.concatenate([size[whole], np.ones(len(first), np.int64)])[order]
+        self.least = np.concatenate([low[whole], one_low])[order]
+        self.several = np.concatenate([high[whole], one_high])[order] > self.least
         self.first = np.concatenate([[0], np.cumsum(self.strings)])
         place = np.empty(len(order), np.int64)
-        place[order] = np.arange(len(order))
+        place[order] = self.first[:-1]
         # Places of a distinct segment's strings: a run in its unit, or one unit a string.
-        spread = np.array([x for _, x in known], bool)
-        size = np.array([len(c) - LEAST + 1 for c in whole], np.int64)
-        head = self.first[place[np.array([own[0] for own in parts], np.int64)]] if parts else np.zeros(0, np.int64)
-        apart = [self.first[place[own]] for own, x in zip(parts, spread.tolist(), strict=True) if x]
-        flat = np.concatenate(apart) if apart else np.zeros(1, np.int64)
-        own_size = np.where(spread, size, 0)
-        at_flat = np.cumsum(own_size) - own_size
-        which = np.array(which, np.int64)
-        count = size[which]
-        self.step = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
-        self.use = np.repeat(np.arange(len(which)), count)
-        n = which[self.use]
-        self.spot = np.where(spread[n], flat[np.where(spread[n], at_flat[n] + self.step, 0)], head[n] + self.step)
-        self.start, self.doc_id = seg.start[at], np.array(doc_ids, np.int64)
+        spots = np.empty(int(size.sum()), np.int64)
+        base = np.cumsum(size) - size
+        spots[_runs(base[whole], size[whole])] = _runs(place[: len(whole)], size[whole])
+        spots[_runs(base[apart], size[apart])] = place[len(whole) :][unit_of]
+        self.spot = spots[_runs(base[which], strings)]
+        self.use = np.repeat(np.arange(len(which)), strings)
+        self.at_use = _runs(self.start, strings)
+
+    def content(self, body: bytes, lo: int, hi: int) -> bytes:
+        return b"".join([body[a : a + n + LEAST - 1] for a, n in zip(self.at[lo:hi].tolist(), self.strings[lo:hi].tolist(), strict=True)])
 
 
 def _send_units(chunk_rows: DataFrame, key_buckets: int, buckets: int, plan: Plan) -> DataFrame:
-    """chunk_rows: with answers. The bits of all units' strings: chunk, bucket, bits."""
+    """chunk_rows: with answers. The bits of all units' strings, for their smallest document in the chunk and for its others: chunk, bucket, bits."""
 
     def run(batches):
         for row in rows_of(batches):
@@ -232,60 +235,101 @@ def _send_units(chunk_rows: DataFrame, key_buckets: int, buckets: int, plan: Pla
             for b in range(buckets):
                 lo, hi = edges[b], edges[b + 1]
                 if lo < hi:
-                    part = u.contents[lo:hi]
-                    yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([row["chunk"]], pa.int64()), arrow_bytes([pack_sorted(u.keys[lo:hi])]), arrow_bytes([squeeze(u.least[lo:hi].tobytes())]), arrow_bytes([squeeze(np.array([len(c) for c in part], np.int64).tobytes())]), arrow_bytes([squeeze(b"".join(part))])], names=["key", "chunk", "keys", "least", "sizes", "body"])
+                    cols = [pack_sorted(u.keys[lo:hi]), squeeze(u.least[lo:hi].tobytes()), squeeze(np.packbits(u.several[lo:hi]).tobytes()), squeeze(u.strings[lo:hi].astype(np.uint8).tobytes()), squeeze(u.content(body, lo, hi))]
+                    yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([row["chunk"]], pa.int64()), *(arrow_bytes([x]) for x in cols)], names=["key", "chunk", "keys", "least", "several", "strings", "body"])
 
-    sent = chunk_rows.mapInArrow(run, "key int, chunk long, keys binary, least binary, sizes binary, body binary")
+    sent = chunk_rows.mapInArrow(run, "key int, chunk long, keys binary, least binary, several binary, strings binary, body binary")
 
     def answer(batches):
         for t in by_key(batches):
-            number: dict[bytes, int] = {}
-            key: list[int] = []
-            least: list[int] = []
-            own = []
-            for k, m, s, b in zip(*(t.column(x).to_pylist() for x in ("keys", "least", "sizes", "body")), strict=True):
-                ks, ms, body = unpack_sorted(k).tolist(), np.frombuffer(unsqueeze(m), np.int64).tolist(), unsqueeze(b)
-                at, mine = 0, []
-                for kk, mm, size in zip(ks, ms, np.frombuffer(unsqueeze(s), np.int64).tolist(), strict=True):
-                    c = body[at : at + size]
-                    at += size
-                    n = number.get(c)
-                    if n is None:
-                        n = number[c] = len(key)
-                        key.append(kk)
-                        least.append(mm)
-                    elif mm < least[n]:
-                        least[n] = mm
-                    mine.append((n, mm))
-                own.append(mine)
-            flags = repeated(list(number), np.array(key, np.uint64), np.array(least, np.int64), plan.array)
-            bits = []
-            for mine in own:
-                bits.append(squeeze(np.packbits(np.concatenate([flags[n] if mm == least[n] else np.ones(len(flags[n]), bool) for n, mm in mine])).tobytes()))
-            yield pa.RecordBatch.from_arrays([t.column("chunk").combine_chunks(), pa.array([t.column("key")[0].as_py()] * len(own), pa.int32()), arrow_bytes(bits)], names=["chunk", "bucket", "bits"])
+            read = lambda name, kind: [np.frombuffer(unsqueeze(x.as_py()), kind) for x in t.column(name)]  # noqa: B023, E731
+            keys = [unpack_sorted(x.as_py()) for x in t.column("keys")]
+            count = [len(x) for x in keys]
+            least = np.concatenate(read("least", np.int64))
+            several = np.concatenate([np.unpackbits(x, count=n).astype(bool) for x, n in zip(read("several", np.uint8), count, strict=True)])
+            strings = np.concatenate(read("strings", np.uint8)).astype(np.int64)
+            body = b"".join(unsqueeze(x.as_py()) for x in t.column("body"))
+            g = Groups(np.concatenate(keys), least, several, strings, body, plan.array)
+            # of each unit of each chunk: the bits for its smallest document there, and for its other documents
+            own, other = g.bits(g.which, least == g.least[g.which]), g.bits(g.which, np.zeros(len(least), bool))
+            ends = np.cumsum(strings)[np.cumsum(count) - 1].tolist()
+            bits = [squeeze(np.packbits(np.concatenate([own[a:b], other[a:b]])).tobytes()) for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+            yield pa.RecordBatch.from_arrays([t.column("chunk").combine_chunks(), pa.array([t.column("key")[0].as_py()] * len(bits), pa.int32()), arrow_bytes(bits)], names=["chunk", "bucket", "bits"])
 
     return dealt(sent).mapInArrow(answer, "chunk long, bucket int, bits binary")
 
 
-def repeated(contents: list[bytes], keys: np.ndarray, least: np.ndarray, array: int = Plan.array) -> list[np.ndarray]:
-    """For each content, which of its LEAST-byte strings are in a content of the same key with a smaller doc_id (least)."""
-    flags = [np.zeros(len(c) - LEAST + 1, bool) for c in contents]
-    order = np.argsort(keys, kind="stable")
-    k = keys[order]
-    cuts = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1], [True]]))
-    held: list[int] = []
-    size = 0
-    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-        if b - a > 1:  # a key with one content has nothing to be compared with
-            own = order[a:b].tolist()
-            held += own
-            size += sum(len(contents[n]) + 1 for n in own)
-            if size >= array:
-                _mark(held, contents, least, flags)
-                held, size = [], 0
-    if held:
-        _mark(held, contents, least, flags)
-    return flags
+class Groups:
+    """Which strings of a bucket's contents go, from the maximal repeat groups of each key's contents.
+
+    A distinct content stands in the suffix array once for its smallest document and, if another document has it, once more for the
+    others: so equal contents are a repeat like any other, and any number of copies takes the room of two.
+    """
+
+    def __init__(self, keys: np.ndarray, least: np.ndarray, several: np.ndarray, strings: np.ndarray, body: bytes, array: int):
+        size = strings + (LEAST - 1)
+        start = np.cumsum(size) - size
+        one, self.which, _ = _distinct(body, start, size)
+        self.least, most = np.full(len(one), 1 << 62, np.int64), np.full(len(one), -(1 << 62), np.int64)
+        np.minimum.at(self.least, self.which, least)
+        np.maximum.at(most, self.which, least + several)
+        self.strings = strings[one]
+        twice = most > self.least
+        # texts: the contents, and once more those that another document has
+        again = np.flatnonzero(twice)
+        content = np.concatenate([np.arange(len(one)), again])
+        doc = np.concatenate([self.least, most[again]])
+        self.again = np.full(len(one), -1, np.int64)
+        self.again[again] = len(one) + np.arange(len(again))
+        text_strings = self.strings[content]
+        self.first = np.cumsum(text_strings) - text_strings
+        self.on = np.zeros(int(text_strings.sum()), bool)
+        key = keys[one][content]
+        order = np.argsort(key, kind="stable")
+        k = key[order]
+        cuts = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1], [True]]))
+        held: list[np.ndarray] = []
+        room = 0
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            if b - a > 1:  # a key with one text has nothing to be compared with
+                held.append(order[a:b])
+                room += int(text_strings[order[a:b]].sum()) + LEAST * (b - a)
+            if held and (room >= array or b == len(k)):
+                self._mark(np.concatenate(held), start[one], content, doc, body)
+                held, room = [], 0
+        if held:
+            self._mark(np.concatenate(held), start[one], content, doc, body)
+
+    def bits(self, which: np.ndarray, smallest: np.ndarray) -> np.ndarray:
+        """Bits of the strings of each content, for its smallest document or the others."""
+        text = np.where(smallest | (self.again[which] < 0), which, self.again[which])
+        return self.on[_runs(self.first[text], self.strings[which])]
+
+    def _mark(self, texts: np.ndarray, start: np.ndarray, content: np.ndarray, doc: np.ndarray, body: bytes) -> None:
+        own = content[texts]
+        strings = self.strings[own]
+        symbols, starts = joined([body[a : a + n + LEAST - 1] for a, n in zip(start[own].tolist(), strings.tolist(), strict=True)])
+        sa, levels = esa.build(symbols)
+        lcp = esa.lcp_array(sa, levels)
+        del levels
+        lo, hi, length, parent, deepest = esa.intervals(lcp, LEAST)
+        if not len(lo):
+            return
+        by_place = np.repeat(doc[texts], strings + LEAST)[sa]
+        smallest = _range_min(by_place, lo, hi)
+        diverse = esa.left_diverse(symbols, sa, lo, hi)
+        place = np.flatnonzero(deepest >= 0)
+        group = deepest[place]
+        spans: list[tuple[np.ndarray, np.ndarray]] = []
+        while len(place):
+            # up to the longest maximal repeat here that a document with a smaller id has, too
+            up = ~diverse[group] | (smallest[group] >= by_place[place])
+            spans.append((sa[place[~up]], length[group[~up]] - LEAST + 1))
+            place, group = place[up], parent[group[up]]
+            rest = group >= 0
+            place, group = place[rest], group[rest]
+        on = esa.covered(np.concatenate([x for x, _ in spans]), np.concatenate([x for _, x in spans]), len(symbols))
+        self.on[_runs(self.first[texts], strings)] = on[_runs(starts, strings)]
 
 
 def joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -301,35 +345,6 @@ def joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return symbols, starts
 
 
-def _mark(held: list[int], contents: list[bytes], least: np.ndarray, flags: list[np.ndarray]) -> None:
-    texts = [contents[n] for n in held]
-    symbols, starts = joined(texts)
-    sa, levels = esa.build(symbols)
-    lcp = esa.lcp_array(sa, levels)
-    del levels
-    lo, hi, length, parent, deepest = esa.intervals(lcp, LEAST)
-    if not len(lo):
-        return
-    text = np.repeat(np.arange(len(texts)), [len(c) + 1 for c in texts])
-    doc = least[np.array(held)][text]
-    by_place = doc[sa]
-    smallest = _range_min(by_place, lo, hi)
-    diverse = esa.left_diverse(symbols, sa, lo, hi)
-    place = np.flatnonzero(deepest >= 0)
-    group = deepest[place]
-    spans: list[tuple[np.ndarray, np.ndarray]] = []
-    while len(place):
-        # up to the longest maximal repeat here that a document with a smaller id has, too
-        up = ~diverse[group] | (smallest[group] >= by_place[place])
-        spans.append((sa[place[~up]], length[group[~up]] - LEAST + 1))
-        place, group = place[up], parent[group[up]]
-        rest = group >= 0
-        place, group = place[rest], group[rest]
-    on = esa.covered(np.concatenate([x for x, _ in spans]), np.concatenate([x for _, x in spans]), len(symbols))
-    for k, n in enumerate(held):
-        flags[n] |= on[starts[k] : starts[k] + len(flags[n])]
-
-
 def _range_min(x: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     """Smallest of x[lo .. hi], by a table of powers of two."""
     out = np.empty(len(lo), x.dtype)
@@ -347,20 +362,21 @@ def _removed(row: dict, key_buckets: int, buckets: int) -> tuple[list, np.ndarra
     """A chunk's ids, sizes, body, and the mask of its removed bytes."""
     ids, sizes, body = open_chunk(row["ids"], row["sizes"], row["body"])
     u = Units(ids, body, Segments(ids, sizes, body), row["answers"], key_buckets)
-    on = np.zeros(int(u.first[-1]), bool)
+    on = np.zeros((2, int(u.first[-1])), bool)
     edges = bucket_edges(u.keys, buckets)
     for x in row["bits"] or []:
         a, b = u.first[edges[x["bucket"]]], u.first[edges[x["bucket"] + 1]]
-        on[a:b] = np.unpackbits(np.frombuffer(unsqueeze(x["bits"]), np.uint8), count=int(b - a)).astype(bool)
-    # a string goes where this chunk has it in a smaller document, or its bit says so
-    gone = (u.doc_id[u.use] > np.repeat(u.least, u.strings)[u.spot]) | on[u.spot]
-    starts = (u.start[u.use] + u.step)[gone]
+        on[:, a:b] = np.unpackbits(np.frombuffer(unsqueeze(x["bits"]), np.uint8), count=2 * int(b - a)).astype(bool).reshape(2, -1)
+    least = np.repeat(u.least, u.strings)[u.spot]
+    gone = np.where(u.doc_id[u.use] == least, on[0][u.spot], on[1][u.spot])
+    starts = u.at_use[gone]
     return ids, sizes, body, esa.covered(starts, np.full(len(starts), LEAST, np.int64), len(body))
 
 
-def _judged(docs: DataFrame, plan: Plan) -> tuple[DataFrame, int, int]:
+def _judged(docs: DataFrame, plan: Plan, keep: tuple[str, ...] = ()) -> tuple[DataFrame, int, int]:
+    """Chunks with all answers. The chunks are bucketed by their key, so that only answers are shuffled to them."""
     ready(docs.sparkSession)
-    packed = chunks(docs, plan.chunk)
+    packed = chunks(docs, plan.chunk, keep)
     raw = packed.agg(F.sum("raw")).first()[0] or 0
     key_buckets, buckets = max(1, -(-raw // plan.key_bucket)), max(1, -(-raw // plan.content_bucket))
     shared = stage(collected(_send_keys(packed, key_buckets, plan), "answers"), "shared")
@@ -389,23 +405,28 @@ def removals(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
-def deduplicated(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:
-    """doc_id, text_hash (xxhash64 of the text), kept_text, n_removed: what is left of each text. A cut inside a character drops what is left of that character."""
-    rows, key_buckets, buckets = _judged(docs, plan)
+def deduplicated(docs: DataFrame, keep: tuple[str, ...] = (), plan: Plan = Plan()) -> DataFrame:
+    """doc_id, kept_text (what is left of the text; null if that was null), n_removed, and rest, a struct of the columns in `keep`: one row a document.
+
+    A cut inside a character drops what is left of that character. The other columns travel with the texts, so no join follows.
+    """
+    own = docs.select("doc_id", "text", F.col("text").isNull().alias("empty"), F.struct(*keep).alias("rest") if keep else F.struct(F.lit(0).alias("none")).alias("rest"))
+    rows, key_buckets, buckets = _judged(own, plan, ("empty", "rest"))
+    schema = f"doc_id long, kept_text string, n_removed long, rest {own.schema['rest'].dataType.simpleString()}"
 
     def run(batches):
         for row in rows_of(batches):
             ids, sizes, body, gone = _removed(row, key_buckets, buckets)
-            raw, texts, n, own, a = np.frombuffer(body, np.uint8), [], [], [], 0
-            for s in sizes.tolist():
+            other = open_rest(row["rest"])
+            raw, texts, n, a = np.frombuffer(body, np.uint8), [], [], 0
+            for s, empty in zip(sizes.tolist(), other.column("empty").to_pylist(), strict=True):
                 m = gone[a : a + s]
-                texts.append(raw[a : a + s][~m].tobytes().decode("utf-8", "ignore"))
+                texts.append(None if empty else raw[a : a + s][~m].tobytes().decode("utf-8", "ignore"))
                 n.append(int(m.sum()))
-                own.append(xxhash.xxh64_intdigest(body[a : a + s], 42))  # as Spark's xxhash64
                 a += s
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.array(own, np.uint64).view(np.int64)), pa.array(texts, pa.string()), pa.array(n, pa.int64())], names=["doc_id", "text_hash", "kept_text", "n_removed"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts, pa.string()), pa.array(n, pa.int64()), other.column("rest").combine_chunks()], names=["doc_id", "kept_text", "n_removed", "rest"])
 
-    return rows.mapInArrow(run, "doc_id long, text_hash long, kept_text string, n_removed long")
+    return rows.mapInArrow(run, schema)
 
 
 def repeat_groups(texts: list[bytes], least: int = LEAST) -> list[tuple[int, list[tuple[int, int]]]]:
