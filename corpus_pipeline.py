@@ -32,12 +32,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Byte strings that a document with a smaller doc_id has, too, are cut out; documents of which nothing is left go. Rows of one doc_id and text get the same."""
-    left = suffix_dedup.deduplicated(docs).where("n_removed > 0").distinct()
-    text = F.when(F.col("n_removed").isNotNull(), F.col("kept_text")).otherwise(F.col("text"))
-    out = docs.withColumn("text_hash", F.xxhash64("text")).join(left, ["doc_id", "text_hash"], "left").withColumn("text", text)
-    out = out.where(F.col("n_removed").isNull() | (F.trim("text") != ""))
-    return out.withColumn("n_chars", F.when(F.col("n_removed").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
+    """Byte strings that a document with a smaller doc_id has, too, are cut out; documents of which nothing is left go. Each row gets its own result."""
+    kept = suffix_dedup.deduplicated(docs, keep=tuple(COLUMNS[2:]))
+    out = kept.where((F.col("n_removed") == 0) | (F.trim("kept_text") != ""))
+    n_chars = F.when(F.col("n_removed") > 0, F.length("kept_text").cast("long")).otherwise(F.col("rest.n_chars"))
+    return out.select("doc_id", F.col("kept_text").alias("text"), "rest.lang", "rest.source", n_chars.alias("n_chars"))
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
