@@ -8,62 +8,94 @@ from __future__ import annotations
 import numpy as np
 
 
-def _sorted_by(a: np.ndarray, b: np.ndarray, i: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """a, b, i in the order of (a, b); all non-negative int64."""
-    la, lb, li = (int(x.max()).bit_length() if len(x) else 0 for x in (a, b, i))
-    if la + lb + li <= 64:  # one vectorised sort of packed words beats an argsort by far
-        w = (a.astype(np.uint64) << np.uint64(lb + li)) | (b.astype(np.uint64) << np.uint64(li)) | i.astype(np.uint64)
+def _changes(x: np.ndarray) -> np.ndarray:
+    out = np.ones(len(x), bool)
+    np.not_equal(x[1:], x[:-1], out=out[1:])
+    return out
+
+
+def _sorted_by(a: np.ndarray, b: np.ndarray, i: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """i in the order of (a, b), and where a, and where either, differs from the one before; all under 2**bits."""
+    if 3 * bits <= 64:  # one vectorised sort of packed words beats an argsort by far
+        w = a.astype(np.uint64)
+        w <<= np.uint64(bits)
+        w |= b.astype(np.uint64)
+        w <<= np.uint64(bits)
+        w |= i.astype(np.uint64)
         w.sort()
-        mask = lambda k: np.uint64((1 << k) - 1)
-        return (w >> np.uint64(lb + li)).astype(np.int64) if lb + li < 64 else np.zeros(len(w), np.int64), ((w >> np.uint64(li)) & mask(lb)).astype(np.int64), (w & mask(li)).astype(np.int64)
+        i = (w & np.uint64((1 << bits) - 1)).astype(np.int64)
+        w >>= np.uint64(bits)
+        both = _changes(w)
+        w >>= np.uint64(bits)
+        return i, _changes(w), both
     o = np.lexsort((b, a))
-    return a[o], b[o], i[o]
+    first = _changes(a[o])
+    return i[o], first, first | _changes(b[o])
 
 
 def build(symbols: np.ndarray, depth: int | None = None) -> tuple[np.ndarray, list[np.ndarray]]:
-    """The suffix array and, for k = 0, 1, ..., each suffix's rank by its first 2**k symbols (one more entry, -1, at the end).
+    """The suffix array and, for k = 0, 1, ..., numbers of each suffix's first 2**k symbols, equal where these are (one more entry at the end).
 
-    With depth, sorting stops once 2**k reaches it; suffixes that agree so far stand in any order.
+    The first sort takes as many symbols as fit into a word. With depth, sorting stops once 2**k reaches it; suffixes that agree so
+    far stand in any order.
     """
     n = len(symbols)
+    bits = max(1, n.bit_length())
+    code = np.zeros(n + 1, np.uint64)
+    code[:n] = symbols
+    code[:n] += np.uint64(1)
+    width, h, levels = int(code.max()).bit_length(), 1, []
+    while 2 * h * width + bits <= 64 and h < n and (depth is None or h < depth):
+        levels.append(code)
+        longer = code << np.uint64(h * width)
+        longer[:-h] |= code[h:]
+        longer[n] = 0
+        code, h = longer, 2 * h
+    if width * h + bits <= 64:
+        w = (code[:n] << np.uint64(bits)) | np.arange(n, dtype=np.uint64)
+        w.sort()
+        sa = (w & np.uint64((1 << bits) - 1)).astype(np.int64)
+        first = _changes(w >> np.uint64(bits))
+    else:
+        sa = np.argsort(code[:n], kind="stable")
+        first = _changes(code[sa])
+    del code
     idx = np.arange(n, dtype=np.int64)
-    s, _, sa = _sorted_by(symbols.astype(np.int64), np.zeros(n, np.int64), idx)
-    first = np.concatenate([[True], s[1:] != s[:-1]]) if n else np.zeros(0, bool)
-    slot = np.maximum.accumulate(np.where(first, idx, 0)) if n else idx
-    rank = np.full(n + 1, -1, np.int64)
-    rank[sa] = slot
-    levels, h = [rank], 1
-    alone = first & np.concatenate([first[1:], [True]]) if n else first
-    todo = sa[~alone]
+    rank = np.full(n + 1, -1, np.int32 if n < 1 << 31 else np.int64)
+    rank[sa] = np.maximum.accumulate(np.where(first, idx, 0))
+    levels.append(rank)
+    todo = sa[~(first & np.append(first[1:], True))] if n else sa
     while len(todo) and (depth is None or h < depth):
-        nxt = np.minimum(todo + h, n)
-        r, k, i = _sorted_by(rank[todo], rank[nxt] + 1, todo)
-        at = np.arange(len(i), dtype=np.int64)
-        new_r = np.concatenate([[True], r[1:] != r[:-1]])
-        new = new_r | np.concatenate([[True], k[1:] != k[:-1]])
-        place = r + at - np.maximum.accumulate(np.where(new_r, at, 0))
+        r = rank[todo]
+        i, new_r, new = _sorted_by(r, rank[np.minimum(todo + h, n)] + 1, todo, bits)
+        at = idx[: len(i)]
+        place = rank[i] + at - np.maximum.accumulate(np.where(new_r, at, 0))
         rank = rank.copy()
         rank[i] = place[np.maximum.accumulate(np.where(new, at, 0))]
         sa[place] = i
         levels.append(rank)
-        todo = i[~(new & np.concatenate([new[1:], [True]]))]
+        todo = i[~(new & np.append(new[1:], True))]
         h *= 2
     return sa, levels
 
 
-def lcp_array(sa: np.ndarray, levels: list[np.ndarray]) -> np.ndarray:
-    """Common-prefix length of each suffix with the one before it in the array (0 for the first)."""
+def lcp_array(sa: np.ndarray, levels: list[np.ndarray], least: int = 1) -> np.ndarray:
+    """Common-prefix length of each suffix with the one before it in the array (0 for the first, and where it is under `least`)."""
     n = len(sa)
     out = np.zeros(n, np.int64)
-    if n < 2:
+    k = least.bit_length() - 1
+    if n < 2 or k >= len(levels):
         return out
-    near = np.flatnonzero(levels[0][sa[1:]] == levels[0][sa[:-1]])
-    a, b, got = sa[near], sa[near + 1], np.zeros(len(near), np.int64)
-    for k in range(len(levels) - 1, -1, -1):
-        lv = levels[k]
-        same = lv[np.minimum(a + got, n)] == lv[np.minimum(b + got, n)]
-        got[same] += 1 << k
-    out[near + 1] = got
+    near = np.flatnonzero(levels[k][sa[1:]] == levels[k][sa[:-1]])
+    a, b = sa[near] + (1 << k), sa[near + 1] + (1 << k)
+    got = np.full(len(near), 1 << k, np.int64)
+    for j in [*range(len(levels) - 1, k, -1), *range(k, -1, -1)]:
+        lv = levels[j]
+        step = (lv[np.minimum(a, n)] == lv[np.minimum(b, n)]).astype(np.int64) << j
+        a += step
+        b += step
+        got += step
+    out[near + 1] = np.where(got >= least, got, 0)
     return out
 
 
@@ -72,21 +104,29 @@ def intervals(lcp: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.n
 
     First and last place in the array, length and parent (-1: none) of each interval, and each place's deepest interval (-1: none).
     """
-    lo: list[int] = []
-    hi: list[int] = []
-    length: list[int] = []
-    parent: list[int] = []
     deepest = np.full(len(lcp), -1, np.int64)
     inside = np.flatnonzero(lcp >= least)
     if not len(inside):
         return (np.zeros(0, np.int64),) * 4 + (deepest,)
-    cuts = np.flatnonzero(np.diff(inside) > 1) + 1
-    places: list[int] = []
-    found: list[int] = []
-    for run in np.split(inside, cuts):
-        first = int(run[0])
+    values = lcp[inside]
+    begin = np.flatnonzero(np.diff(inside, prepend=-2) > 1)  # of each run of neighbours
+    end = np.append(begin[1:], len(inside))
+    # a run of one value is one interval, and needs no stack
+    flat = np.maximum.reduceat(values, begin) == np.minimum.reduceat(values, begin)
+    n_flat = int(flat.sum())
+    run = np.repeat(np.arange(len(begin)), end - begin)
+    found = (np.cumsum(flat) - 1)[run]
+    lo: list[int] = []
+    hi: list[int] = []
+    length: list[int] = []
+    parent: list[int] = []
+    rest: list[int] = []
+    other = np.flatnonzero(~flat)
+    depth = values[~flat[run]].tolist()
+    at = 0
+    for first, size in zip(inside[begin[other]].tolist(), (end - begin)[other].tolist(), strict=True):
         stack: list[int] = []  # open intervals, by number
-        for i, v in enumerate(lcp[run[0] : run[-1] + 1].tolist(), first):
+        for i, v in enumerate(depth[at : at + size], first):
             left, below = i - 1, -1
             while stack and length[stack[-1]] > v:
                 top = stack.pop()
@@ -100,21 +140,22 @@ def intervals(lcp: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.n
                 lo.append(left), hi.append(-1), length.append(v), parent.append(-1)
             if below >= 0:
                 parent[below] = stack[-1]
-            places.append(i)
-            found.append(stack[-1])
-        last = int(run[-1])
+            rest.append(stack[-1])
+        at += size
         below = -1
         while stack:
             top = stack.pop()
-            hi[top] = last
+            hi[top] = first + size - 1
             if below >= 0:
                 parent[below] = top
             below = top
-    lo, hi, length, parent = (np.array(x, np.int64) for x in (lo, hi, length, parent))
+    found[~flat[run]] = np.array(rest, np.int64) + n_flat
+    up = np.array(parent, np.int64)
+    lo, hi, length = (np.concatenate([x, np.array(y, np.int64)]) for x, y in ((inside[begin[flat]] - 1, lo), (inside[end[flat] - 1], hi), (values[begin[flat]], length)))
+    parent = np.concatenate([np.full(n_flat, -1, np.int64), np.where(up >= 0, up + n_flat, -1)])
     # a place lies between its own and the next common-prefix length; the longer one is its deepest interval
-    places, found = np.array(places), np.array(found)
-    deepest[places] = found
-    before = places - 1
+    deepest[inside] = found
+    before = inside - 1
     longer = (deepest[before] < 0) | (length[np.maximum(deepest[before], 0)] < length[found])
     deepest[before[longer]] = found[longer]
     return lo, hi, length, parent, deepest

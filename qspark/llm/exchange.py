@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 _TOP = 1 << 64
+#: Most tasks of an exchange; with more buckets, a task has several, one after the other.
+MOST_TASKS = 50_000
 
 
 def bucket_edges(keys: np.ndarray, buckets: int) -> np.ndarray:
@@ -22,8 +24,9 @@ def rows_of(batches):
             yield batch.slice(k, 1).to_pylist()[0]
 
 
-def dealt(sent: DataFrame) -> DataFrame:
-    return sent.repartition("key").sortWithinPartitions("key", "chunk")
+def dealt(sent: DataFrame, buckets: int) -> DataFrame:
+    """Buckets to tasks, so many that a task has one or a few."""
+    return sent.repartition(min(buckets, MOST_TASKS), "key").sortWithinPartitions("key", "chunk")
 
 
 def collected(answers: DataFrame, name: str) -> DataFrame:

@@ -124,7 +124,7 @@ def scores(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, leave_own_
             yield pa.RecordBatch.from_arrays([t.column("chunk").combine_chunks(), pa.array([t.column("key")[0].as_py()] * len(at), pa.int32()), arrow_bytes([squeeze(np.ascontiguousarray(total[k].view(np.uint8).reshape(-1, 8).T).tobytes()) for k in at]), t.column("words").combine_chunks()], names=["chunk", "bucket", "bits", "words"])
 
     sent = packed.mapInArrow(send, "key int, chunk long, keys binary, counts binary, words long")
-    answers = stage(dealt(sent).mapInArrow(table, "chunk long, bucket int, bits binary, words long"), "counts")
+    answers = stage(dealt(sent, buckets).mapInArrow(table, "chunk long, bucket int, bits binary, words long"), "counts")
     corpus = answers.agg(F.sum("words")).first()[0] or 0
     rows = packed.join(collected(answers, "answers"), "chunk", "left")
 

@@ -53,7 +53,7 @@ class Plan:
     #: From more than this many segments on, a key's strings are spread one by one.
     frequent: int = 2_000
     #: Symbols of one suffix array, about; a key's contents stay together.
-    array: int = 1 << 18
+    array: int = 1 << 16
 
 
 def key_minima(body: np.ndarray) -> np.ndarray:
@@ -103,7 +103,7 @@ class Segments:
         step = (np.arange(int(parts.sum())) - np.repeat(np.cumsum(parts) - parts, parts)) * LONGEST
         self.start = np.repeat(start, parts) + step
         self.strings = np.minimum(np.repeat(strings, parts) - step, LONGEST)
-        self.key = m[self.start]
+        self.key = mixed(m[self.start])  # minima are small; mixed, they spread evenly over the buckets
         self.doc = np.searchsorted(ends, self.start, side="right")
 
 
@@ -135,7 +135,7 @@ def _send_keys(chunk_rows: DataFrame, buckets: int, plan: Plan) -> DataFrame:
             shared, frequent = chunks_with > 1, total > plan.frequent
             yield pa.RecordBatch.from_arrays([t.column("chunk").combine_chunks(), pa.array([t.column("key")[0].as_py()] * len(at), pa.int32()), arrow_bytes([squeeze(np.packbits(np.concatenate([shared[k], frequent[k]])).tobytes()) for k in at])], names=["chunk", "bucket", "bits"])
 
-    return dealt(sent).mapInArrow(answer, "chunk long, bucket int, bits binary")
+    return dealt(sent, buckets).mapInArrow(answer, "chunk long, bucket int, bits binary")
 
 
 def _marks(seg: Segments, answers: list | None, buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -256,7 +256,7 @@ def _send_units(chunk_rows: DataFrame, key_buckets: int, buckets: int, plan: Pla
             bits = [squeeze(np.packbits(np.concatenate([own[a:b], other[a:b]])).tobytes()) for a, b in zip([0, *ends[:-1]], ends, strict=True)]
             yield pa.RecordBatch.from_arrays([t.column("chunk").combine_chunks(), pa.array([t.column("key")[0].as_py()] * len(bits), pa.int32()), arrow_bytes(bits)], names=["chunk", "bucket", "bits"])
 
-    return dealt(sent).mapInArrow(answer, "chunk long, bucket int, bits binary")
+    return dealt(sent, buckets).mapInArrow(answer, "chunk long, bucket int, bits binary")
 
 
 class Groups:
@@ -310,7 +310,7 @@ class Groups:
         strings = self.strings[own]
         symbols, starts = joined([body[a : a + n + LEAST - 1] for a, n in zip(start[own].tolist(), strings.tolist(), strict=True)])
         sa, levels = esa.build(symbols)
-        lcp = esa.lcp_array(sa, levels)
+        lcp = esa.lcp_array(sa, levels, LEAST)
         del levels
         lo, hi, length, parent, deepest = esa.intervals(lcp, LEAST)
         if not len(lo):
