@@ -1,9 +1,10 @@
-"""Whole texts to token ids with a byte-level tokenizer file, with a cache of what stands between single spaces.
+"""Whole texts to token ids with a byte-level tokenizer file, with a cache of what stands between single spaces and line ends.
 
 The byte-level pattern never lets a token reach over a space that stands between two other characters, except as that token's
-first character. A text is therefore cut there, and each piece (its space in front) is encoded by the library once. New pieces
-without white space go to the library many at a time, a line end after each, whose id tells them apart again; letters and a last
-, or . are the letters' ids and the mark's.
+first character, nor over a line end between two other characters. A text is therefore cut there, and each piece (its space or line
+end in front) is encoded by the library once. New pieces without white space go to the library many at a time, a line end after
+each, whose id tells them apart again; letters and the punctuation after them are the letters' ids and the punctuation's, as the
+pattern parts them, too. A text that has the string of a special token goes to the library as a whole.
 """
 
 from __future__ import annotations
@@ -14,7 +15,31 @@ import re
 import numpy as np
 
 _cut = re.compile(r"(?<=\S) (?=\S)")
-_odd = re.compile(r" \s|\s ")
+#: Marks that the pattern parts from letters before them, whatever follows; the apostrophe may begin a contraction.
+_MARKS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'")
+_blank = np.isin(np.arange(256), [9, 10, 11, 12, 13, 28, 29, 30, 31, 32])
+_rare = _blank & ~np.isin(np.arange(256), [10, 32])
+#: First two bytes of white space outside ASCII.
+_pairs = [(0xC2, 0x85), (0xC2, 0xA0), (0xE1, 0x9A), (0xE2, 0x80), (0xE2, 0x81), (0xE3, 0x80)]
+_lead = np.isin(np.arange(256), [a for a, _ in _pairs])
+
+
+def _odd(raw: list[bytes]) -> np.ndarray:
+    """Of texts that aren't empty: which may have white space other than single spaces and line ends between other characters."""
+    body = np.frombuffer(b"".join(raw), np.uint8)
+    ends = np.cumsum([len(x) for x in raw])
+    blank = _blank[body]
+    bad = _rare[body]
+    bad[:-1] |= blank[:-1] & blank[1:]
+    bad[ends - 1] |= blank[ends - 1]
+    bad[np.concatenate([[0], ends[:-1]])] |= blank[np.concatenate([[0], ends[:-1]])]
+    lead = np.flatnonzero(_lead[body])
+    after = body[np.minimum(lead + 1, len(body) - 1)]
+    for x, y in _pairs:
+        bad[lead[(body[lead] == x) & (after == y)]] = True
+    out = np.zeros(len(raw), bool)
+    out[np.searchsorted(ends, np.flatnonzero(bad), side="right")] = True
+    return out
 
 
 class _Numbers(dict):
@@ -71,8 +96,8 @@ class Coder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.line_end, self.marks = self._ids("\n"), {x: self._ids(x)[0] for x in ",."}
+        self.special = [x.content for x in self.library.get_added_tokens_decoder().values()]
+        self.line_end = self._ids("\n")
         self.clear()
 
     def _ids(self, text: str) -> list[int]:
@@ -80,6 +105,7 @@ class Coder:
 
     def clear(self) -> None:
         self.after, self.first = (_Numbers(), _Store()), (_Numbers(), _Store())
+        self.marks: dict[str, list[int]] = {}
 
     def _each(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         ids = [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
@@ -94,39 +120,72 @@ class Coder:
         numbers, store = self.after
         if not numbers.new:
             return
-        ended = [x for x in numbers.new if x[-1:] in self.marks and x[:-1].isalpha() and max(x) < "԰"]
-        cores = np.array([numbers[x[:-1]] for x in ended], np.int64)
-        apart = set(ended)
-        solid, others = [], []
+        solid, others, ended, cores, tails = [], [], [], [], []
         for x in numbers.new:
-            if x not in apart:
-                (solid if len(self.line_end) == 1 and (x.isalpha() or x.split() == [x]) else others).append(x)
+            if x.isalpha():
+                solid.append(x)
+                continue
+            core = x.rstrip(_MARKS)
+            if core.isalpha() and core != x and (core.isascii() or max(core) < "\u0530"):
+                ended.append(x)
+                cores.append(core)
+                tails.append(x[len(core) :])
+            elif x[0] != "\n" and x.split() == [x]:
+                solid.append(x)
+            else:
+                others.append(x)
+        known = len(numbers.new)
+        of_core = np.array([numbers[x] for x in cores], np.int64)
+        solid += numbers.new[known:]
         numbers.new = []
-        if solid:
+        if solid and len(self.line_end) == 1:
+            solid.sort()  # words that begin alike share the library's work in the processor's cache
             lines = [" " + "\n ".join(solid[k : k + self.LINE]) + "\n" for k in range(0, len(solid), self.LINE)]
             flat, _ = self._each(lines)
             ends = np.flatnonzero(flat == self.line_end[0])
             if len(ends) != len(solid):
                 raise ValueError("this tokenizer file joins words and line ends")
             store.put(np.array([numbers[x] for x in solid]), np.delete(flat, ends), np.diff(ends, prepend=-1) - 1)
+        elif solid:
+            others += solid
         if others:
-            store.put(np.array([numbers[x] for x in others]), *self._each([" " + x for x in others]))
+            store.put(np.array([numbers[x] for x in others]), *self._each([x if x[0] == "\n" else " " + x for x in others]))
         if ended:
-            flat, sizes = store.get(cores)
-            store.put(np.array([numbers[x] for x in ended]), np.insert(flat, np.cumsum(sizes), [self.marks[x[-1]] for x in ended]), sizes + 1)
+            for x in set(tails) - self.marks.keys():
+                self.marks[x] = self._ids(x)
+            flat, sizes = store.get(of_core)
+            own = [self.marks[x] for x in tails]
+            more = np.array([len(x) for x in own], np.int64)
+            flat = np.insert(flat, np.repeat(np.cumsum(sizes), more), np.array([i for x in own for i in x], np.uint32))
+            store.put(np.array([numbers[x] for x in ended]), flat, sizes + more)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row (uint32), and the number of ids of each text."""
+        whole = [k for k, t in enumerate(texts) if any(x in t for x in self.special)]
+        if not whole:
+            return self._encode(texts)
+        texts = list(texts)
+        direct = [self._ids(texts[k]) for k in whole]
+        for k in whole:
+            texts[k] = ""
+        flat, counts = self._encode(texts)
+        at = np.repeat((np.cumsum(counts) - counts)[whole], [len(x) for x in direct])
+        counts[whole] = [len(x) for x in direct]
+        return np.insert(flat, at, np.array([i for x in direct for i in x], np.uint32)), counts
+
+    def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if len(self.after[0]) > self.MOST:
             self.clear()
         pieces: list[str] = []
         counts: list[int] = []
         heads: list[str] = []
+        full = [t for t in texts if t]
+        odd = iter(_odd([t.encode() for t in full]).tolist() if full else [])
         for t in texts:
             if not t:
                 counts.append(0)
                 continue
-            own = _cut.split(t) if _odd.search(t) or t[0].isspace() or t[-1].isspace() else t.split(" ")
+            own = _cut.split(t) if next(odd) else t.replace("\n", " \n").split(" ")
             counts.append(len(own))
             heads.append(own[0])
             own[0] = "a"  # its place is filled from the heads

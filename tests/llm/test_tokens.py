@@ -12,7 +12,6 @@ from qspark.llm import packing, token_io, tokens
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 library = Tokenizer.from_file(PATH)
-library.encode_special_tokens = True
 
 
 def ids(text):
@@ -55,6 +54,13 @@ def test_files(spark, odd, real):
         assert order == sorted(order)
 
 
+def test_span_of_a_row():
+    v = np.array([k * k % 60_000 + (k % 997 == 0) * 2**61 for k in range(10_000)], np.uint64)
+    row = token_io.encode(v)
+    for start, n in ((0, 1), (2047, 2), (5000, 0), (4096, 2048), (9999, 1), (0, 10_000), (100, 7000)):
+        assert (token_io.decode_span(*row, start, n) == v[start : start + n]).all()
+
+
 def test_packing(spark, odd, real):
     for docs in (odd, real, odd.limit(0)):
         rows = docs.where("doc_id is not null").select("doc_id", "text").distinct().collect()
