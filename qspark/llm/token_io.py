@@ -24,9 +24,9 @@ from pyspark.sql import functions as F
 from .common import arrow_bytes, ready, stage, steps
 from .tokens import coder, with_end
 
-BLOCK, ROW_IDS = 2048, 1 << 18
+BLOCK, ROW_IDS = 512, 1 << 18
 #: Blocks that the reader decodes in one vectorised step.
-STEP_BLOCKS = 16
+STEP_BLOCKS = 64
 
 # Fixed values of the format: ids in a word for selectors 1 to 14; their width is 60 // count.
 COUNTS = np.array([1, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1], np.int64)
@@ -66,11 +66,14 @@ def encode(ids: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray,
         more = pos < end
         pos, end = pos[more], end[more]
     starts = np.flatnonzero(begins)
-    sel = choice[starts].astype(np.int64)
-    count = COUNTS[sel]
-    value = ids << ((at - np.repeat(starts, count)) * np.repeat(WIDTHS[sel], count)).astype(np.uint64)
-    value[starts[sel == 0]] = 0
-    words = np.bitwise_or.reduceat(value, starts) | (sel.astype(np.uint64) << np.uint64(60))
+    sel = choice[starts]
+    words = np.zeros(len(starts), np.uint64)
+    for s in range(1, 15):
+        own = np.flatnonzero(sel == s)
+        if len(own):
+            place = np.arange(COUNTS[s])
+            part = ids[starts[own][:, None] + place] << (place * WIDTHS[s]).astype(np.uint64)
+            words[own] = np.bitwise_or.reduce(part, axis=1) | np.uint64(s << 60)
     escape = np.flatnonzero(sel == 0)
     before = np.searchsorted(escape, np.arange(len(starts) + 1))  # escapes before each word
     if len(escape):
@@ -151,13 +154,14 @@ def read_tokens(files: DataFrame, with_ids: bool = False) -> DataFrame:
         for batch in batches:
             for k in range(batch.num_rows):
                 row = {name: batch.column(i)[k] for i, name in enumerate(batch.schema.names)}
-                words, blocks, escapes = np.frombuffer(row["words"].as_py(), np.uint64), np.array(row["blocks"].as_py(), np.int64), np.array(row["escapes"].as_py(), np.int64)
+                doc_ids, counts, blocks, escapes = (row[x].values for x in ("doc_ids", "counts", "blocks", "escapes"))
+                counts, blocks, escapes = (x.to_numpy().astype(np.int64) for x in (counts, blocks, escapes))
+                words = np.frombuffer(row["words"].as_buffer(), np.uint64)
                 ids = np.concatenate([decode_blocks(words, blocks, escapes, b, min(b + STEP_BLOCKS, len(blocks))).astype("<u4") for b in range(0, len(blocks), STEP_BLOCKS)])
-                counts = np.array(row["counts"].as_py(), np.int64)
                 ends = np.cumsum(counts)
                 small = memoryview(ids.tobytes())
                 crc = [zlib.crc32(small[4 * (e - c) : 4 * e]) for e, c in zip(ends.tolist(), counts.tolist(), strict=True)]
-                cols = [pa.array([row["shard"].as_py()] * len(counts), pa.int32()), pa.array(row["doc_ids"].as_py(), pa.int64()), pa.array(row["first"].as_py() + ends - counts), pa.array(counts), pa.array(crc, pa.int64())]
+                cols = [pa.array([row["shard"].as_py()] * len(counts), pa.int32()), doc_ids, pa.array(row["first"].as_py() + ends - counts), pa.array(counts), pa.array(crc, pa.int64())]
                 if with_ids:
                     cols.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(ids.astype(np.int64))))
                 yield pa.RecordBatch.from_arrays(cols, names=["shard", "doc_id", "at", "n_tokens", "ids_crc32", *["ids"] * with_ids])

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import os
 import re
+from itertools import chain
 
 import numpy as np
 
@@ -43,13 +44,13 @@ def _odd(raw: list[bytes]) -> np.ndarray:
 
 
 class _Numbers(dict):
-    """Piece → number, in order of first sight; the new ones wait in `new`."""
+    """Piece → number, in order of first sight; the new ones wait in `new`. A text's first piece, with nothing in front, is bytes."""
 
     def __init__(self):
         super().__init__()
-        self.new: list[str] = []
+        self.new: list[str | bytes] = []
 
-    def __missing__(self, piece: str) -> int:
+    def __missing__(self, piece: str | bytes) -> int:
         n = self[piece] = len(self)
         self.new.append(piece)
         return n
@@ -104,52 +105,46 @@ class Coder:
         return self.library.encode(text, add_special_tokens=False).ids
 
     def clear(self) -> None:
-        self.after, self.first = (_Numbers(), _Store()), (_Numbers(), _Store())
+        self.numbers, self.store = _Numbers(), _Store()
         self.marks: dict[str, list[int]] = {}
 
     def _each(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         ids = [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-        return np.array([x for y in ids for x in y], np.uint32), np.array([len(y) for y in ids], np.int64)
+        sizes = np.array([len(y) for y in ids], np.int64)
+        return np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum())), sizes
 
     def _learn(self) -> None:
         """Ids of the new pieces."""
-        numbers, store = self.first
-        if numbers.new:
-            store.put(np.array([numbers[x] for x in numbers.new]), *self._each(numbers.new))
-            numbers.new = []
-        numbers, store = self.after
-        if not numbers.new:
-            return
+        numbers, store, new = self.numbers, self.store, self.numbers.new
+        known = len(new)
+        base = len(numbers) - known
         solid, others, ended, cores, tails = [], [], [], [], []
-        for x in numbers.new:
-            if x.isalpha():
-                solid.append(x)
-                continue
-            core = x.rstrip(_MARKS)
-            if core.isalpha() and core != x and (core.isascii() or max(core) < "\u0530"):
-                ended.append(x)
-                cores.append(core)
-                tails.append(x[len(core) :])
-            elif x[0] != "\n" and x.split() == [x]:
-                solid.append(x)
+        for i, x in enumerate(new):
+            if type(x) is bytes:
+                others.append(i)
+            elif x.isalpha():
+                solid.append(i)
             else:
-                others.append(x)
-        known = len(numbers.new)
-        of_core = np.array([numbers[x] for x in cores], np.int64)
-        solid += numbers.new[known:]
-        numbers.new = []
-        if solid and len(self.line_end) == 1:
-            solid.sort()  # words that begin alike share the library's work in the processor's cache
-            lines = [" " + "\n ".join(solid[k : k + self.LINE]) + "\n" for k in range(0, len(solid), self.LINE)]
+                core = x.rstrip(_MARKS)
+                if core.isalpha() and (core.isascii() or max(core) < "\u0530"):
+                    ended.append(i)
+                    cores.append(core)
+                    tails.append(x[len(core) :])
+                else:
+                    (solid if x[0] != "\n" and x.split() == [x] else others).append(i)
+        of_core = np.fromiter(map(numbers.__getitem__, cores), np.int64, len(cores))
+        solid += range(known, len(new))
+        if len(self.line_end) > 1:
+            others += solid
+        elif solid:
+            lines = [" " + "\n ".join([new[i] for i in solid[k : k + self.LINE]]) + "\n" for k in range(0, len(solid), self.LINE)]
             flat, _ = self._each(lines)
             ends = np.flatnonzero(flat == self.line_end[0])
             if len(ends) != len(solid):
                 raise ValueError("this tokenizer file joins words and line ends")
-            store.put(np.array([numbers[x] for x in solid]), np.delete(flat, ends), np.diff(ends, prepend=-1) - 1)
-        elif solid:
-            others += solid
+            store.put(base + np.array(solid), np.delete(flat, ends), np.diff(ends, prepend=-1) - 1)
         if others:
-            store.put(np.array([numbers[x] for x in others]), *self._each([x if x[0] == "\n" else " " + x for x in others]))
+            store.put(base + np.array(others), *self._each([x.decode() if type(x) is bytes else x if x[0] == "\n" else " " + x for x in (new[i] for i in others)]))
         if ended:
             for x in set(tails) - self.marks.keys():
                 self.marks[x] = self._ids(x)
@@ -157,7 +152,8 @@ class Coder:
             own = [self.marks[x] for x in tails]
             more = np.array([len(x) for x in own], np.int64)
             flat = np.insert(flat, np.repeat(np.cumsum(sizes), more), np.array([i for x in own for i in x], np.uint32))
-            store.put(np.array([numbers[x] for x in ended]), flat, sizes + more)
+            store.put(base + np.array(ended), flat, sizes + more)
+        numbers.new = []
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row (uint32), and the number of ids of each text."""
@@ -174,41 +170,26 @@ class Coder:
         return np.insert(flat, at, np.array([i for x in direct for i in x], np.uint32)), counts
 
     def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.after[0]) > self.MOST:
+        if len(self.numbers) > self.MOST:
             self.clear()
-        pieces: list[str] = []
+        pieces: list[str | bytes] = []
         counts: list[int] = []
-        heads: list[str] = []
-        full = [t for t in texts if t]
-        odd = iter(_odd([t.encode() for t in full]).tolist() if full else [])
+        full = [t.encode() for t in texts if t]
+        odd = iter(_odd(full).tolist() if full else [])
         for t in texts:
             if not t:
                 counts.append(0)
                 continue
             own = _cut.split(t) if next(odd) else t.replace("\n", " \n").split(" ")
             counts.append(len(own))
-            heads.append(own[0])
-            own[0] = "a"  # its place is filled from the heads
+            own[0] = own[0].encode()
             pieces += own
-        counts = np.array(counts, np.int64)
-        k = np.fromiter(map(self.after[0].__getitem__, pieces), np.int64, len(pieces))
-        h = np.fromiter(map(self.first[0].__getitem__, heads), np.int64, len(heads))
-        self._learn()
-        upto = np.cumsum(counts)
-        full = counts > 0
-        at = (upto - counts)[full]
-        head_flat, head_sizes = self.first[1].get(h)
-        rest = np.delete(k, at)
-        flat, sizes = self.after[1].get(rest)
-        all_sizes = np.zeros(len(k), np.int64)
-        inner = np.ones(len(k), bool)
-        inner[at] = False
-        all_sizes[inner], all_sizes[at] = sizes, head_sizes
-        total = np.concatenate([[0], np.cumsum(all_sizes)])
-        out = np.empty(int(total[-1]), np.uint32)
-        is_head = np.repeat(~inner, all_sizes)
-        out[is_head], out[~is_head] = head_flat, flat
-        return out, total[upto] - total[upto - counts]
+        numbers = np.fromiter(map(self.numbers.__getitem__, pieces), np.int64, len(pieces))
+        if self.numbers.new:
+            self._learn()
+        flat, sizes = self.store.get(numbers)
+        total, upto = np.concatenate([[0], np.cumsum(sizes)]), np.cumsum(counts, dtype=np.int64)
+        return flat, total[upto] - total[upto - np.array(counts, np.int64)]
 
 
 _coders: dict[str, Coder] = {}
