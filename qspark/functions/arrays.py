@@ -12,6 +12,11 @@ from .expr import col, eq
 Fn = Callable[..., Column]
 
 
+def _let(value: Column, f: Fn) -> Column:
+    """f of a value that is made once, not for each element of the lambdas inside."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def til(n) -> Column:
     n = col(n).cast("long")
     return F.when(n > 0, F.sequence(F.lit(0).cast("long"), n - 1)).otherwise(F.array().cast("array<bigint>"))
@@ -48,16 +53,29 @@ def fold_right(f: Fn, init, xs) -> Column:
     return F.aggregate(F.reverse(col(xs)), col(init), lambda acc, x: f(x, acc))
 
 
+#: Results that a scan gathers before they are put to the others: what one step copies.
+SCAN_PART = 64
+
+
+def _scanned(xs: Column, first: Column, f: Fn) -> Column:
+    """first and all f(last result, x). Results are gathered in parts, so that a step doesn't copy all results so far."""
+    start = F.struct(F.slice(F.array(first), 1, 0).alias("done"), first.alias("part"))
+
+    def step(acc, x):
+        more = F.concat(acc["part"], F.array(f(F.element_at(acc["part"], -1), x)))
+        full = F.size(acc["part"]) >= SCAN_PART
+        return F.struct(F.when(full, F.concat(acc["done"], F.array(acc["part"]))).otherwise(acc["done"]).alias("done"), F.when(full, F.slice(more, -1, 1)).otherwise(more).alias("part"))
+
+    return F.aggregate(xs, start, step, lambda acc: F.concat(F.flatten(acc["done"]), acc["part"]))
+
+
 def scan(f: Fn, xs) -> Column:
     """All the running results of fold."""
-    xs = col(xs)
-    head = F.slice(xs, 1, 1)
-    return F.aggregate(F.slice(xs, 2, F.greatest(F.size(xs) - 1, F.lit(0))), head, lambda acc, x: F.concat(acc, F.array(f(F.element_at(acc, -1), x))))
+    return _let(col(xs), lambda v: F.when(F.size(v) > 0, _scanned(F.slice(v, 2, F.greatest(F.size(v) - 1, F.lit(0))), F.slice(v, 1, 1), f)).otherwise(v))
 
 
 def scan_left(f: Fn, xs, init) -> Column:
-    out = F.aggregate(col(xs), F.array(col(init)), lambda acc, x: F.concat(acc, F.array(f(x, F.element_at(acc, -1)))))
-    return F.slice(out, 2, F.size(col(xs)))
+    return _let(_scanned(col(xs), F.array(col(init)), lambda acc, x: f(x, acc)), lambda out: F.slice(out, 2, F.greatest(F.size(out) - 1, F.lit(0))))
 
 
 def scan_right(f: Fn, init, xs) -> Column:
@@ -65,8 +83,8 @@ def scan_right(f: Fn, init, xs) -> Column:
 
 
 def find(xs, y) -> Column:
-    """First place, from 0; null if it isn't there."""
-    return F.nullif(F.array_position(col(xs), col(y)), F.lit(0).cast("long")) - 1
+    """First place, from 0; null if it isn't there. A null finds a null."""
+    return F.nullif(F.array_position(F.transform(col(xs), lambda x: eq(x, y)), F.lit(True)), F.lit(0).cast("long")) - 1
 
 
 def at(xs, i) -> Column:
@@ -75,13 +93,11 @@ def at(xs, i) -> Column:
 
 def where(mask) -> Column:
     """Places of the true ones."""
-    mask = col(mask)
-    return F.filter(til(F.size(mask)), lambda i: F.coalesce(F.get(mask, i.cast("int")), F.lit(False)))
+    return F.transform(F.filter(F.transform(col(mask), lambda m, i: F.struct(m.alias("m"), i.cast("long").alias("i"))), lambda p: F.coalesce(p["m"], F.lit(False))), lambda p: p["i"])
 
 
 def filter_(xs, mask) -> Column:
-    xs = col(xs)
-    return F.transform(where(mask), lambda i: F.get(xs, i.cast("int")))
+    return F.transform(F.filter(F.arrays_zip(col(xs).alias("x"), col(mask).alias("m")), lambda p: F.coalesce(p["m"], F.lit(False))), lambda p: p["x"])
 
 
 def take(xs, n: int, cyclic: bool = True) -> Column:
@@ -197,10 +213,16 @@ def value(m) -> Column:
 
 
 def group(xs) -> Column:
-    """Value → places."""
-    xs = col(xs)
-    own = F.array_distinct(xs)
-    return F.map_from_arrays(own, F.transform(own, lambda v: F.filter(til(F.size(xs)), lambda i: eq(F.get(xs, i.cast("int")), v))))
+    """Value → places, values in order of first sight. By one sort of the array."""
+    pairs = F.array_sort(F.transform(col(xs), lambda x, i: F.struct(x.alias("v"), i.cast("long").alias("i"))))
+
+    def runs(p: Column) -> Column:
+        begin = F.filter(til(F.size(p)), lambda k: (k == 0) | ~eq(F.get(p, k.cast("int"))["v"], F.get(p, k.cast("int") - 1)["v"]))
+        own = lambda b: F.transform(b, lambda s, k: F.slice(p, s.cast("int") + 1, (F.coalesce(F.get(b, k + 1), F.size(p).cast("long")) - s).cast("int")))
+        return _let(begin, own)
+
+    made = F.transform(_let(pairs, runs), lambda g: F.struct(F.get(g, F.lit(0))["i"].alias("at"), F.get(g, F.lit(0))["v"].alias("v"), F.transform(g, lambda x: x["i"]).alias("places")))
+    return _let(F.array_sort(made), lambda g: F.map_from_arrays(F.transform(g, lambda x: x["v"]), F.transform(g, lambda x: x["places"])))
 
 
 def unify(xs, kind: str) -> Column:

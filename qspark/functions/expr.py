@@ -98,9 +98,15 @@ def true_div(a, b) -> Column:
     return F.try_divide(col(a).cast("double"), col(b).cast("double"))
 
 
+def _whole(a: Column) -> Column:
+    """Is this a column of whole numbers? Known when the plan is made."""
+    return F.typeof(a).isin("tinyint", "smallint", "int", "bigint")
+
+
 def floor_div(a, b, like: str | None = None) -> Column:
-    """Floor of the quotient; null for a zero divisor. like: a type to give the result, of the left operand by the language's rule."""
-    q = F.floor(F.try_divide(col(a), col(b)))
+    """Floor of the quotient; null for a zero divisor. Exact for whole numbers. like: a type to give the result, of the left operand by the language's rule."""
+    a, b = col(a), col(b)
+    q = F.when(_whole(a) & _whole(b), int_floor_div(a, b)).otherwise(F.floor(F.try_divide(a, b)))
     return q.cast(like) if like else q
 
 

@@ -16,6 +16,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import udf
 from ..functions import aggs, arrays, expr
 from ..operators import joins, ranking, sets
 from ..operators.table import Table
@@ -45,6 +46,14 @@ class Lambda:
         self.params, self.body, self.scope = params, body, scope
 
 
+class Enum(Vec):
+    """Symbols as places in a named domain."""
+
+    def __init__(self, domain: str, known: list, places: list[int]):
+        super().__init__(known[k] for k in places)
+        self.domain, self.places = domain, Vec(places)
+
+
 def literal(x: Any) -> Column:
     if isinstance(x, Expr):
         return x.c
@@ -362,8 +371,10 @@ class Interpreter:
                     return sample(x.full.orderBy(x.rid), i)
                 if isinstance(i, list) and i and isinstance(i[0], str):
                     return Table(x.at([str(k) for k in i]))
-                row = [x.take(1, start=k).df.first() for k in V.as_list(i)]
-                return {c: row[0][c] for c in x.columns} if not isinstance(i, list) else [r.asDict() for r in row]
+                places = V.as_list(i)
+                found = {r["_n"]: r for r in ranking.rank(x.full, x.rid, out="_n").where(F.col("_n").isin(places)).collect()}
+                row = [{c: found[k][c] if k in found else None for c in x.columns} for k in places]
+                return row if isinstance(i, list) else row[0]
             return Expr(arrays.at(literal(x), literal(i))) if isinstance(x, Expr) else V.at(x, i)
 
         def cast(kind, x):
@@ -580,7 +591,7 @@ class Interpreter:
             "left-join": join(joins.left_join), "inner-join": join(joins.inner_join), "asof-join": asof,
             "insert": insert, "upsert": upsert, "alter": alter, "modify": modify,
             "til": one(V.til, arrays.til), "rand": V.rand, "guid": V.guid, "list": lambda *a: list(a), "enlist": lambda *a: Expr(arrays.enlist(*map(literal, a))) if any(isinstance(x, Expr) for x in a) else Vec(a), "dict": lambda k, v: dict(zip(k, v, strict=True)),
-            "table": self._table, "enum": lambda d, s: Vec(map(Sym, s)) if isinstance(s, list) else Sym(s), "unify": lambda x: Vec(x), "diverse": lambda x: list(x),
+            "table": self._table, "enum": self._enum, "unify": lambda x: Vec(x) if len({type(v) for v in x}) <= 1 else x, "diverse": lambda x: list(x),
             "key": key, "value": value, "meta": lambda t: self._meta(t), "type": lambda x: Sym("TABLE") if isinstance(x, Table) else V.type_(x), "as": cast,
             "split": lambda x, s: Expr(expr.split(x.c, s) if isinstance(s, str) else expr.cut(x.c, s)) if isinstance(x, Expr) else V.split(x, s), "format": lambda p, *a: Expr(expr.format_(p, *map(literal, a))) if any(isinstance(x, Expr) for x in a) else V.format_(p, *a),
             "map": higher(each, arrays.map_), "pmap": higher(each, arrays.map_), "map-left": higher(lambda g, x, ys: Vec(g(x, y) for y in ys) if isinstance(ys, list) else g(x, ys), arrays.map_left), "map-right": higher(lambda g, xs, y: Vec(g(x, y) for x in xs) if isinstance(xs, list) else g(xs, y), arrays.map_right),
@@ -588,16 +599,35 @@ class Interpreter:
             "scan": higher(scanned, arrays.scan), "scan-left": higher(lambda g, xs, init: scanned(g, xs, init, True), arrays.scan_left), "scan-right": higher(lambda g, init, xs: Vec(scanned(g, xs[::-1], init, True)[::-1]), arrays.scan_right), "apply": lambda g, *a: each(lambda *v: self.call(g, list(v)), *a) if isinstance(g, Lambda) else self.call(g, list(a)),
             "read-csv": lambda kinds, path, sep=",": Table(io.read_csv(self.spark, [str(k) for k in kinds], path, sep)), "write-csv": lambda path, t, sep=",": io.write_csv(t.df, path, sep, single=True),
             "set-splayed": lambda path, t, *_: io.set_splayed(t.df, path), "get-splayed": lambda path, *_: Table(io.get_splayed(self.spark, path)), "set-parted": lambda path, t: io.set_parted(t.df, path), "get-parted": lambda path, name=None: Table(io.get_parted(self.spark, path)),
-            "get": self._get, "load": self._load, "read": self._read, "write": write, "hopen": hopen, "hclose": lambda h: None, "ser": lambda x: io.ser(x.df if isinstance(x, Table) else x), "de": lambda b: self._table_or(io.de(b, self.spark)),
+            "get": self._get, "load": self._load, "read": self._read, "write": write, "hopen": hopen, "hclose": lambda h: h.close(), "ser": lambda x: io.ser(x.df if isinstance(x, Table) else x), "de": lambda b: self._table_or(io.de(b, self.spark)),
             "show": show, "print": lambda p, *a: println(p, *a, end=""), "println": println, "date": now("date"), "time": now("time"), "timestamp": now("timestamp"),
-            "raise": raise_, "return": return_, "parse": lambda s: parse(s)[-1], "eval": lambda x: self.eval(x, {}), "resolve": lambda s: self.globals.get(str(s), self.functions.get(str(s))), "loadfn": lambda cls, name, n=1: (lambda *a: Expr(F.call_function(name, *map(literal, a)))),
-            "timer": self._timer, "env": lambda *_: dict(self.globals), "internals": lambda *_: sorted(self.functions), "args": lambda *_: dict(self.spark.sparkContext.getConf().getAll()), "memstat": lambda *_: self._memory(), "sysinfo": lambda *_: {"cores": os.cpu_count(), "system": platform.system(), "spark": self.spark.version}, "gc": lambda *_: self.spark.sparkContext._jvm.System.gc() or 0, "rc": lambda x: 1,
+            "raise": raise_, "return": return_, "parse": lambda s: parse(s)[-1], "eval": lambda x: self.eval(x, {}), "resolve": lambda s: self.globals.get(str(s), self.functions.get(str(s))), "loadfn": self._loadfn,
+            "timer": self._timer, "env": lambda *_: dict(self.globals), "internals": lambda *_: sorted(self.functions), "args": lambda *_: dict(self.spark.sparkContext.getConf().getAll()), "memstat": lambda *_: self._memory(), "sysinfo": lambda *_: {"cores": os.cpu_count(), "system": platform.system(), "spark": self.spark.version}, "gc": lambda *_: self.spark.sparkContext._jvm.System.gc() or 0, "rc": lambda x: 1 + sum(v is x for v in self.globals.values()),
             "os-get-var": lambda n: os.environ.get(n), "os-set-var": lambda n, v: os.environ.__setitem__(n, v), "system": refuse("system"), "exit": refuse("exit"),
         }
         f["="] = f["=="]
         f["csv"], f["lj"], f["ij"], f["aj"] = f["read-csv"], f["left-join"], f["inner-join"], f["asof-join"]
         return f
 
+    def _enum(self, domain: str, symbols: Any) -> Enum:
+        known = self.globals[str(domain)]
+        places = V.find(known, symbols)
+        if None in V.as_list(places):
+            raise ValueError(f"domain: not all symbols are in {domain}")
+        return Enum(str(domain), known, V.as_list(places))
+
+    def _loadfn(self, source: str, name: str, n: int = 1) -> Callable:
+        """A compiled function of n arguments: of a Java class, or one that the session has under this name if the class is empty."""
+        if source:
+            udf.load_java(self.spark, str(name), source)
+
+        def f(*args):
+            if len(args) != n:
+                raise TypeError(f"arity: {name} takes {n} arguments")
+            return Expr(F.call_function(str(name), *map(literal, args)))
+
+        return f
+
     def _table_or(self, x):
         return Table(x) if isinstance(x, DataFrame) else Vec(x) if isinstance(x, list) else x
 

@@ -13,7 +13,11 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import ranking
+
 RID = "_rid"
+#: Time slots of an as-of join over the whole span of times.
+SLOTS = 64
 
 
 def with_rid(df: DataFrame, order: str | Sequence[str] | None = None) -> tuple[DataFrame, Column]:
@@ -78,33 +82,42 @@ def _long(c: Column, kind: str) -> Column:
     return c
 
 
+def _width(time: str, *tables: DataFrame) -> int:
+    """Slots for as-of joins: a part of the span that all times take."""
+    spans = [t.select(F.min(_long(F.col(time), dict(t.dtypes)[time])).alias("a"), F.max(_long(F.col(time), dict(t.dtypes)[time])).alias("b")) for t in tables]
+    both = spans[0]
+    for x in spans[1:]:
+        both = both.unionByName(x)
+    r = both.agg(F.min("a").alias("a"), F.max("b").alias("b")).first()
+    return 1 if r["a"] is None else max(1, int((r["b"] - r["a"]) // SLOTS) + 1)
+
+
 def asof_join(keys: Sequence[str], time: str, left: DataFrame, right: DataFrame, order: str | None = None, slot: int | None = None) -> DataFrame:
     """Backward as-of: of the right rows with equal keys and time <= the left time, the latest (of equal times the last by order).
 
-    One shuffle: both sides in one table, the last right row so far in a window of each key. slot: width of time slots (in
-    microseconds for timestamps, else in the column's unit) that spread a hot key over tasks; the last row of earlier slots is
-    carried over from one row a slot.
+    One shuffle: both sides in one table, the last right row so far in a window of each key and time slot, so a hot key is spread
+    over tasks; the last row of earlier slots is carried over from one row a slot. slot: width of the slots (in microseconds for
+    timestamps, else in the column's unit); without it, a part of the times' span.
     """
+    slot = slot or _width(time, left, right)
     keys = list(keys)
     payload = [c for c in right.columns if c not in keys and c != time]
     shared = [c for c in payload if c in left.columns]
     r, rid = with_rid(right, order)
     kinds = dict(left.dtypes)
-    a = left.select(*keys, F.col(time), F.lit(1).alias("_side"), F.lit(None).cast("long").alias("_tie"), F.struct(*left.columns).alias("_l"), F.lit(None).alias("_r"))
-    b = r.select(*keys, F.col(time).cast(kinds[time]), F.lit(0).alias("_side"), rid.cast("long").alias("_tie") if order is None or dict(r.dtypes)[order] in ("int", "bigint", "smallint") else F.hash(rid).cast("long").alias("_tie"), F.lit(None).alias("_l"), F.struct(*(F.col(c) for c in payload), F.lit(True).alias("_hit")).alias("_r"))
+    a = left.select(*keys, F.col(time), F.lit(1).alias("_side"), F.lit(None).cast(r.select(rid).schema[0].dataType).alias("_tie"), F.struct(*left.columns).alias("_l"), F.lit(None).alias("_r"))
+    b = r.select(*keys, F.col(time).cast(kinds[time]), F.lit(0).alias("_side"), rid.alias("_tie"), F.lit(None).alias("_l"), F.struct(*(F.col(c) for c in payload), F.lit(True).alias("_hit")).alias("_r"))
     types = {x.name: x.dataType for x in a.schema}
     b = b.withColumn("_l", F.lit(None).cast(types["_l"]))
     a = a.withColumn("_r", F.lit(None).cast({x.name: x.dataType for x in b.schema}["_r"]))
     both = a.unionByName(b)
-    if slot:
-        both = both.withColumn("_slot", F.floor(_long(F.col(time), kinds[time]) / slot))
-    by = [*keys, *["_slot"] * bool(slot)]
+    both = both.withColumn("_slot", F.floor(_long(F.col(time), kinds[time]) / slot))
+    by = [*keys, "_slot"]
     w = Window.partitionBy(*by).orderBy(F.col(time), "_side", "_tie").rowsBetween(Window.unboundedPreceding, 0)
     got = both.withColumn("_m", F.last("_r", ignorenulls=True).over(w)).where("_side = 1")
-    if slot:
-        ends = both.where("_side = 0").groupBy(*by).agg(F.max_by("_r", F.struct(F.col(time), "_tie")).alias("_end"))
-        slots = _slot_carry(both, ends, by, keys)
-        got = got.join(slots, [F.col(k).eqNullSafe(F.col(f"_s_{k}")) for k in by], "left").withColumn("_m", F.coalesce("_m", "_carry"))
+    ends = both.where("_side = 0").groupBy(*by).agg(F.max_by("_r", F.struct(F.col(time), "_tie")).alias("_end"))
+    slots = _slot_carry(both, ends, by, keys)
+    got = got.join(slots, [F.col(k).eqNullSafe(F.col(f"_s_{k}")) for k in by], "left").withColumn("_m", F.coalesce("_m", "_carry"))
     hit = F.coalesce(F.col("_m")["_hit"], F.lit(False))
     out = []
     for c in left.columns:
@@ -155,19 +168,19 @@ def window_join(keys: Sequence[str], time: str, lo: Column, hi: Column, left: Da
 def bin_join(left: DataFrame, column: str, points: DataFrame, point: str, out: str, right: bool = False) -> DataFrame:
     """Place of the last point <= the value (-1: none), or with right of the first point >= it (number of points: none).
 
-    Points are a table; ranges of the value spread the work: counts of points before each range are added up from one row a range.
+    Each distinct value is placed once, so a hot value costs nothing. Values and points are dealt by ranges of the value; a range
+    counts its points up to each value, and the points of the ranges before are added. Null points are left out; a null value is
+    before all points.
     """
-    n = points.agg(F.count(point)).first()[0]
-    if n <= 10_000:  # a literal array: bounded, searched on the executors
-        p = F.array(*(F.lit(x[0]) for x in points.select(point).where(F.col(point).isNotNull()).orderBy(point).collect())) if n else F.array().cast("array<double>")
-        test = (lambda x: x < F.col(column)) if right else (lambda x: x <= F.col(column))
-        found = F.size(F.filter(p, test)).cast("long")
-        return left.withColumn(out, F.when(F.col(column).isNotNull(), found - (0 if right else 1)).otherwise(F.lit(0 if right else -1).cast("long")))
-    ranked = points.where(F.col(point).isNotNull()).select(F.col(point).alias("_t"), F.row_number().over(Window.orderBy(point)).cast("long").alias("_n"))
-    j = asof_join(["_one"], "_t", left.withColumn("_t", F.col(column)).withColumn("_one", F.lit(1)), ranked.withColumn("_one", F.lit(1)), order="_n")
-    found = F.coalesce(F.col("_n") - 1, F.lit(-1).cast("long"))
-    if right:
-        first = ranked.groupBy(F.col("_t").alias("_v")).agg(F.min("_n").alias("_first"))
-        j = j.join(first, F.col(column) == F.col("_v"), "left")
-        found = F.coalesce(F.col("_first") - 1, F.coalesce(F.col("_n"), F.lit(0).cast("long")))
-    return j.withColumn(out, found).select(*left.columns, out)
+    kind = dict(left.dtypes)[column]
+    v = left.select(F.col(column).alias("_v"), F.lit(0).cast("long").alias("_n")).distinct()
+    p = points.select(F.col(point).cast(kind).alias("_v")).where("_v is not null").withColumn("_n", F.lit(1).cast("long"))
+    bounds = ranking.boundaries(v, [F.col("_v")])
+    n = left.sparkSession.range(1).select(F.size(bounds).alias("n")).first()["n"]
+    both = v.unionByName(p).withColumn("_range", ranking.range_of([F.col("_v")], bounds, n))
+    before = ranking._before(both, F.sum("_n"))
+    order = [F.asc_nulls_first("_v"), F.asc("_n") if right else F.desc("_n")]  # of equal ones, points count for bin, not for binr
+    seen = F.sum("_n").over(Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    placed = both.withColumn("_seen", seen).where("_n = 0").join(before, F.col("_range") == F.col("_r"))
+    place = F.col("_seen") + F.coalesce("_before", F.lit(0)) - (0 if right else 1)
+    return left.join(placed.select("_v", place.alias(out)), F.col(column).eqNullSafe(F.col("_v")), "left").select(*left.columns, out)

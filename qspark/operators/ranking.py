@@ -1,7 +1,8 @@
 """Order, ranks and buckets of whole columns.
 
-Global ranks are counted by ranges: rows are dealt by range and sorted there, and each range's offset is the number of rows before
-it, so no task holds all rows. Within groups a window does it.
+Global ranks are counted by ranges: boundaries are fixed values, taken once from a sample; a row's range is searched among them, so
+it is the same in every branch of a plan, whatever the exchanges do. Rows are numbered within their range, and the rows of the
+ranges before are added. No task holds all rows. Within groups a window does it.
 """
 
 from __future__ import annotations
@@ -17,21 +18,68 @@ def ordering(columns: Sequence[str], ascending: bool = True) -> list[Column]:
     return [F.asc_nulls_first(c) if ascending else F.desc_nulls_last(c) for c in columns]
 
 
-def _numbered(df: DataFrame, order: list[Column], out: str) -> DataFrame:
+#: Sampled rows a range: the more, the more even the ranges.
+SAMPLED = 20
+#: Most ranges; the sample that is sent to the driver has SAMPLED times as many rows, about.
+MOST_RANGES = 5_000
+
+
+def boundaries(df: DataFrame, keys: Sequence[Column]) -> Column:
+    """An array of structs of keys in ascending order (nulls smallest) that cuts the rows into about as many ranges as the session has shuffle partitions."""
+    key = F.struct(*(k.alias(f"k{i}") for i, k in enumerate(keys)))
+    ranges = min(MOST_RANGES, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    rows = df.count()
+    picked = df.select(key.alias("k"))
+    if rows > SAMPLED * ranges:
+        picked = picked.sample(min(1.0, SAMPLED * ranges / rows), seed=1)
+    ordered = picked.distinct().orderBy("k").collect()
+    step = max(1, len(ordered) // ranges)
+    kind = picked.schema["k"].dataType
+    made = [F.struct(*(F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(r["k"], kind.fields, strict=True))) for r in ordered[step::step]]
+    return F.array(*made) if made else F.array().cast(f"array<{kind.simpleString()}>")
+
+
+def range_of(keys: Sequence[Column], bounds: Column, n: int) -> Column:
+    """How many of the n boundaries are at or below the keys: binary search, within the row."""
+    key = F.struct(*(k.alias(f"k{i}") for i, k in enumerate(keys)))
+    steps = [1 << k for k in range(n.bit_length() - 1, -1, -1)]
+    if not n:
+        return F.lit(0)
+    return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda at, s: F.when((at + s <= n) & (F.get(bounds, at + s - 1) <= key), at + s).otherwise(at))
+
+
+def ranged(df: DataFrame, keys: Sequence[Column], out: str = "_range") -> DataFrame:
+    """The rows with the number of their range of keys."""
+    bounds = boundaries(df, keys)
+    n = df.sparkSession.range(1).select(F.size(bounds).alias("n")).first()["n"]
+    return df.withColumn(out, range_of(keys, bounds, n))
+
+
+def _before(d: DataFrame, agg: Column) -> DataFrame:
+    """For each range, the sum over all ranges before it; one row a range meets here."""
+    own = d.groupBy("_range").agg(agg.alias("_own"))
+    w = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    return own.select(F.col("_range").alias("_r"), F.sum("_own").over(w).alias("_before"))
+
+
+def _numbered(df: DataFrame, columns: Sequence[str], ascending: Sequence[bool], out: str) -> DataFrame:
     """Row number from 0 in the given order."""
-    s = df.repartitionByRange(*order).sortWithinPartitions(*order)
-    placed = s.withColumn("_part", F.spark_partition_id()).withColumn("_in", F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("long"), 33))
-    sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    before = sizes.select(F.col("_part").alias("_p"), F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    return placed.join(before, F.col("_part") == F.col("_p")).withColumn(out, F.col("_in") + F.col("_before")).select(*df.columns, out)
+    order = [ordering([c], up)[0] for c, up in zip(columns, ascending, strict=True)]
+    lead = [F.col(c) for c, up in zip(columns, ascending, strict=True) if up == ascending[0]] if len(set(ascending)) == 1 else [F.col(columns[0])]
+    d = ranged(df, lead)
+    if not ascending[0]:
+        d = d.withColumn("_range", -F.col("_range"))
+    own = d.withColumn("_in", F.row_number().over(Window.partitionBy("_range").orderBy(*order)).cast("long") - 1)
+    before = _before(d, F.count(F.lit(1)))
+    return own.join(before, F.col("_range") == F.col("_r")).withColumn(out, F.col("_in") + F.coalesce("_before", F.lit(0))).select(*df.columns, out)
 
 
 def rank(df: DataFrame, column: str, tie: Sequence[str] = (), by: Sequence[str] = (), out: str = "rank", ascending: bool = True) -> DataFrame:
     """0-based place of each row in stable order. tie: columns that settle equal values."""
-    order = ordering([column], ascending) + ordering(tie)
     if by:
+        order = ordering([column], ascending) + ordering(tie)
         return df.withColumn(out, F.row_number().over(Window.partitionBy(*by).orderBy(*order)).cast("long") - 1)
-    return _numbered(df, order, out)
+    return _numbered(df, [column, *tie], [ascending] + [True] * len(tie), out)
 
 
 def xrank(df: DataFrame, column: str, n: int, tie: Sequence[str] = (), by: Sequence[str] = (), out: str = "xrank") -> DataFrame:
@@ -46,9 +94,13 @@ def xrank(df: DataFrame, column: str, n: int, tie: Sequence[str] = (), by: Seque
     return r.crossJoin(F.broadcast(total)).withColumn(out, F.floor(F.col("_rank") * n / F.col("_total"))).drop("_rank", "_total")  # one row
 
 
-def iasc(df: DataFrame, column: str, tie: Sequence[str] = (), out: str = "place", ascending: bool = True) -> DataFrame:
-    """Rows with their place in sorted order: the inverse of the sort permutation."""
-    return rank(df, column, tie, (), out, ascending)
+def iasc(df: DataFrame, column: str, row: str, ascending: bool = True) -> DataFrame:
+    """The sort permutation of a column: for each place in sorted order (`place`), the number of the row that stands there (`index`).
+
+    Rows are numbered from 0 in the order of the column `row`, which settles equal values, too.
+    """
+    numbered = rank(df.select(column, row), row, out="index")
+    return rank(numbered, column, [row], out="place", ascending=ascending).select("place", "index")
 
 
 def xasc(df: DataFrame, columns: Sequence[str], tie: Sequence[str] = ()) -> DataFrame:
@@ -68,11 +120,12 @@ def running(df: DataFrame, column: str, order: Sequence[str], by: Sequence[str]
     if by:
         w = Window.partitionBy(*by).orderBy(*ordering(order)).rowsBetween(Window.unboundedPreceding, 0)
         return df.withColumn(out, agg(F.col(column)).over(w))
-    s = df.repartitionByRange(*ordering(order)).withColumn("_part", F.spark_partition_id())
-    own = s.withColumn("_own", agg(F.col(column)).over(Window.partitionBy("_part").orderBy(*ordering(order)).rowsBetween(Window.unboundedPreceding, 0)))
-    ends = own.groupBy("_part").agg(agg(F.col(column)).alias("_end"))
-    before = ends.select(F.col("_part").alias("_p"), agg(F.col("_end")).over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)).alias("_before"))
-    both = agg is F.sum
-    joined = own.join(before, F.col("_part") == F.col("_p"))
-    total = F.when(F.col("_before").isNull(), F.col("_own")).otherwise(F.col("_own") + F.col("_before") if both else (F.greatest if agg is F.max else F.least)("_own", "_before"))
+    d = ranged(df, [F.col(c) for c in order])
+    own = d.withColumn("_own", agg(F.col(column)).over(Window.partitionBy("_range").orderBy(*ordering(order)).rowsBetween(Window.unboundedPreceding, 0)))
+    ends = d.groupBy("_range").agg(agg(F.col(column)).alias("_end"))
+    before = ends.select(F.col("_range").alias("_r"), agg(F.col("_end")).over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)).alias("_before"))
+    joined = own.join(before, F.col("_range") == F.col("_r"))
+    plus = F.col("_own") + F.col("_before") if agg is F.sum else (F.greatest if agg is F.max else F.least)("_own", "_before")
+    # a range without values so far has no result of its own
+    total = F.coalesce(plus, "_own", "_before")
     return joined.withColumn(out, total).select(*df.columns, out)

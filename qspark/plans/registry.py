@@ -2,48 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import aggs, arrays, expr
 from ..operators import joins, ranking, sets
 from ..operators.table import Table
 from ..sources import io
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None):
-    def add(f):
-        QUERIES[name] = f
-        if sql:
-            ORACLES[name] = sql
-        return f
-
-    return add
-
-
-def read(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder in the shared one of the cluster, or where it is unset (tests) in this machine's."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
-    if not base:
-        import tempfile
-
-        base = tempfile.mkdtemp(prefix="qspark-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}/"
-
-
-def rounded(e: Column, digits: int = 4) -> Column:
-    return F.round(e, digits)
-
+from . import builtins  # noqa: F401  its queries are registered, too
+from .base import ORACLES, QUERIES, query, read, rounded, scratch  # noqa: F401
 
 LINE = ["l_orderkey", "l_linenumber"]
 C = F.col
@@ -412,9 +378,9 @@ def format_text(spark, d):
 
 
 # arrays and higher-order functions
-@query("map_array", "SELECT vec_id, list_transform(embedding, lambda x: round(x * 2, 4)) AS m FROM embeddings")
+@query("map_array", "SELECT vec_id, list_transform(embedding, lambda x: round(x * 2, 4) + 0) AS m FROM embeddings")
 def map_array(spark, d):
-    return read(spark, d, "embeddings").select("vec_id", arrays.map_(lambda x: F.round(x.cast("double") * 2, 4).cast("float"), C("embedding")).alias("m"))
+    return read(spark, d, "embeddings").select("vec_id", arrays.map_(lambda x: F.round(x.cast("double") * 2, 4).cast("float") + F.lit(0).cast("float"), C("embedding")).alias("m"))
 
 
 @query("fold_array", "SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)), 4) AS s, list_max(embedding) AS m FROM embeddings")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime
+import decimal
 import json
 import os
 from collections.abc import Callable, Iterable, Sequence
@@ -79,37 +80,53 @@ def read_text(spark: SparkSession, path: str) -> DataFrame:
 
 
 def ser(x: Any) -> bytes:
-    """A value, or a small table's schema and rows, as bytes."""
+    """A value, or a small table, as bytes. A table is an Arrow stream, so its types come back as they are; a value is JSON."""
+    if isinstance(x, DataFrame):
+        import pyarrow as pa
+
+        table, sink = x.toArrow(), pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, table.schema) as w:
+            w.write_table(table)
+        return b"T" + x.schema.json().encode() + b"\n" + sink.getvalue().to_pybytes()
+
     def plain(v):
-        if isinstance(v, datetime.datetime):
-            return {"ts": v.isoformat()}
-        return {"date": v.isoformat()} if isinstance(v, datetime.date) else v
+        for name, kind in (("ts", datetime.datetime), ("date", datetime.date)):
+            if isinstance(v, kind):
+                return {name: v.isoformat()}
+        if isinstance(v, decimal.Decimal):
+            return {"decimal": str(v)}
+        return {"bytes": bytes(v).hex()}
 
-    if isinstance(x, DataFrame):
-        return json.dumps({"table": json.loads(x.schema.json()), "rows": [[plain(v) for v in r] for r in x.collect()]}).encode()
-    return json.dumps({"value": x}, default=plain).encode()
+    return b"V" + json.dumps({"value": x}, default=plain).encode()
 
 
 def de(data: bytes, spark: SparkSession | None = None) -> Any:
-    x = json.loads(data)
+    if data[:1] == b"T":
+        import pyarrow as pa
+
+        schema, raw = data[1:].split(b"\n", 1)
+        return spark.createDataFrame(pa.ipc.open_stream(raw).read_all(), T.StructType.fromJson(json.loads(schema)))
+    kinds = {"ts": datetime.datetime.fromisoformat, "date": datetime.date.fromisoformat, "decimal": decimal.Decimal, "bytes": bytes.fromhex}
 
     def back(v):
-        if isinstance(v, dict) and "ts" in v:
-            return datetime.datetime.fromisoformat(v["ts"])
-        return datetime.date.fromisoformat(v["date"]) if isinstance(v, dict) and "date" in v else v
+        (name, text), = v.items() if len(v) == 1 else ((None, None),)
+        return kinds[name](text) if name in kinds else v
 
-    if "table" in x:
-        return spark.createDataFrame([[back(v) for v in r] for r in x["rows"]], T.StructType.fromJson(x["table"]))
-    return back(x["value"])
+    return json.loads(data[1:], object_hook=back)["value"]
 
 
 class Journal:
     """Append-only log of small tables or values in a folder: what a file handle writes, and its replay."""
 
     def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
+        self.spark, self.path, self.open = spark, path, True
+
+    def close(self) -> None:
+        self.open = False
 
     def write(self, x: Any) -> None:
+        if not self.open:
+            raise ValueError("io: the handle is closed")
         row = [(int(datetime.datetime.now().timestamp() * 1e6), bytearray(ser(x)))]
         self.spark.createDataFrame(row, "at long, message binary").coalesce(1).write.mode("append").parquet(self.path)
 

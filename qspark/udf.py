@@ -26,6 +26,6 @@ def grouped(df: DataFrame, keys: Sequence[str], f: Callable[[pd.DataFrame], pd.D
     return df.groupBy(*keys).applyInPandas(f, schema)
 
 
-def load_java(spark: SparkSession, name: str, class_name: str, returns: str) -> None:
-    """A compiled function by class name."""
+def load_java(spark: SparkSession, name: str, class_name: str, returns: str | None = None) -> None:
+    """A compiled function by class name; without `returns`, its type is the class's own."""
     spark.udf.registerJavaFunction(name, class_name, returns)

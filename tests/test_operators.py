@@ -150,3 +150,70 @@ def test_streams(spark, tmp_path):
     q = stream.bucketed(s, "ts", "1 day", {"n": F.count(F.lit(1))}, late="1000 days").writeStream.format("memory").queryName("buckets").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.table("buckets").agg(F.sum("n")).first()[0] == src.count()
+
+
+def test_ranks_of_many_wide_rows(spark, tmp_path):
+    """Written results, as plans with several branches may lose rows that a count doesn't miss."""
+    n = 200_000
+    conf = {"spark.sql.shuffle.partitions": "200", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4m"}
+    old = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        d = spark.range(n).select("id", (C("id") * 7919 % 1000).alias("v"), F.repeat(F.lit("x"), 400).alias("payload"))
+        want = {r["id"]: (r["rank"], r["run"]) for r in d.selectExpr("id", "row_number() over (order by v, id) - 1 as rank", "sum(v) over (order by v, id) as run").collect()}
+        for name, made in (("rank", ranking.rank(d, "v", ["id"])), ("down", ranking.rank(d, "v", ["id"], ascending=False)), ("xrank", ranking.xrank(d, "v", 10, ["id"])), ("running", ranking.running(d, "v", ["v", "id"]))):
+            made.write.parquet(f"{tmp_path}/{name}")
+            got = {r[0]: r[1] for r in spark.read.parquet(f"{tmp_path}/{name}").select("id", made.columns[-1]).collect()}
+            assert len(got) == n
+            if name == "down":  # of equal values, the smaller id is still first
+                assert got == {r["id"]: r["p"] for r in d.selectExpr("id", "row_number() over (order by v desc, id) - 1 as p").collect()}
+            else:
+                assert got == {k: r * 10 // n if name == "xrank" else r if name == "rank" else s for k, (r, s) in want.items()}
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
+def test_sort_permutation(spark):
+    d = spark.createDataFrame([(0, 5.0), (1, None), (2, 1.0), (3, 5.0)], "r int, v double")
+    assert [r["index"] for r in ranking.iasc(d, "v", "r").orderBy("place").collect()] == [1, 2, 0, 3]
+    assert [r["index"] for r in ranking.iasc(d, "v", "r", ascending=False).orderBy("place").collect()] == [0, 3, 2, 1]
+
+
+def test_bin_of_many_points(spark):
+    import bisect
+
+    points = [(float(k * k % 30_011),) for k in range(30_000)] + [(None,)]
+    values = [(k, float(k * 37 % 40_000) - 500) for k in range(3000)] + [(3000, None), (3001, 7.0), (3002, 7.0)]
+    l, p = spark.createDataFrame(values, "id int, v double"), spark.createDataFrame(points, "t double")
+    t = sorted(x for x, in points if x is not None)
+    for right, want in ((False, lambda v: bisect.bisect_right(t, v) - 1), (True, lambda v: bisect.bisect_left(t, v))):
+        got = {r["id"]: r["b"] for r in joins.bin_join(l, "v", p, "t", "b", right).collect()}
+        assert got == {k: (0 if right else -1) if v is None else want(v) for k, v in values}
+    assert {r["b"] for r in joins.bin_join(l, "v", p.limit(0), "t", "b").collect()} == {-1}
+
+
+def test_asof_ties_go_by_order(spark):
+    l = spark.createDataFrame([("a", 5)], "k string, t int")
+    r = spark.createDataFrame([("a", 5, f"o{k:02}") for k in range(10)], "k string, t int, o string")
+    assert joins.asof_join(["k"], "t", l, r, order="o").first()["o"] == "o09"
+
+
+def test_exact_floor_division(spark):
+    big = F.lit(9007199254740993)
+    assert one(spark, expr.floor_div(big, 1), expr.floor_div(-big, 2), expr.floor_div(F.lit(7.5), 2)) == (9007199254740993, -4503599627370497, 3)
+
+
+def test_long_arrays(spark):
+    n = 20_000
+    a = F.sequence(F.lit(1), F.lit(n))
+    r = spark.range(1).select(arrays.scan(lambda x, y: x + y, a).alias("s"), arrays.scan_left(lambda x, acc: acc + x, a, F.lit(10)).alias("l"), arrays.group(F.transform(a, lambda x: x % 3)).alias("g"), arrays.key(arrays.group(F.transform(a, lambda x: x % 3))).alias("k")).first()
+    assert r["s"][-1] == n * (n + 1) // 2 and len(r["s"]) == n and r["s"][:3] == [1, 3, 6] and r["l"][-1] == r["s"][-1] + 10 and len(r["l"]) == n
+    assert r["k"] == [1, 2, 0] and r["g"][0] == list(range(2, n, 3))
+
+
+def test_nulls_in_arrays(spark):
+    a = F.array(F.lit(3), F.lit(None).cast("int"), F.lit(3))
+    got = one(spark, arrays.find(a, F.lit(None).cast("int")), arrays.where(F.array(F.lit(True), F.lit(None), F.lit(True))), arrays.filter_(a, F.array(F.lit(False), F.lit(True), F.lit(True))), arrays.group(F.array(F.lit("b"), F.lit("a"), F.lit("b"))), arrays.scan(lambda x, y: x + y, F.array().cast("array<int>")))
+    assert got == (1, [0, 2], [None, 3], {"b": [0, 2], "a": [1]}, [])

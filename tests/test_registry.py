@@ -1,5 +1,6 @@
 """Every registered query against its SQL on the smallest tables."""
 
+import decimal
 import glob
 import os
 
@@ -18,6 +19,8 @@ def plain(v):
         return str([plain(x) for x in v])
     if v is None or v is pd.NaT or v is pd.NA or isinstance(v, float) and v != v:
         return "NULL"
+    if isinstance(v, decimal.Decimal):
+        v = float(v)
     if isinstance(v, (float, np.floating)):
         return f"{v:.6g}"
     return str(bool(v)) if isinstance(v, (bool, np.bool_)) else str(v)
