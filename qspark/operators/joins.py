@@ -8,6 +8,7 @@ splits skewed partitions.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -18,6 +19,7 @@ from . import ranking
 RID = "_rid"
 #: Time slots of an as-of join over the whole span of times.
 SLOTS = 64
+WEEK_US = 7 * 24 * 3600 * 1_000_000
 
 
 def with_rid(df: DataFrame, order: str | Sequence[str] | None = None) -> tuple[DataFrame, Column]:
@@ -82,13 +84,14 @@ def _long(c: Column, kind: str) -> Column:
     return c
 
 
-def _width(time: str, *tables: DataFrame) -> int:
-    """Slots for as-of joins: a part of the span that all times take."""
-    spans = [t.select(F.min(_long(F.col(time), dict(t.dtypes)[time])).alias("a"), F.max(_long(F.col(time), dict(t.dtypes)[time])).alias("b")) for t in tables]
-    both = spans[0]
-    for x in spans[1:]:
-        both = both.unionByName(x)
-    r = both.agg(F.min("a").alias("a"), F.max("b").alias("b")).first()
+def _width(time: str, kind: str, *tables: DataFrame) -> int:
+    """Slots for as-of joins: a week of timestamps, some days, or of numbers a part of the span that they take."""
+    if kind.startswith("timestamp"):
+        return WEEK_US
+    if kind == "date":
+        return SLOTS
+    spans = [t.select(F.col(time).alias("t")) for t in tables]
+    r = functools.reduce(DataFrame.unionByName, spans).agg(F.min("t").alias("a"), F.max("t").alias("b")).first()
     return 1 if r["a"] is None else max(1, int((r["b"] - r["a"]) // SLOTS) + 1)
 
 
@@ -96,10 +99,10 @@ def asof_join(keys: Sequence[str], time: str, left: DataFrame, right: DataFrame,
     """Backward as-of: of the right rows with equal keys and time <= the left time, the latest (of equal times the last by order).
 
     One shuffle: both sides in one table, the last right row so far in a window of each key and time slot, so a hot key is spread
-    over tasks; the last row of earlier slots is carried over from one row a slot. slot: width of the slots (in microseconds for
+    over tasks; a slot begins with the last row of earlier slots, one row a slot. slot: width of the slots (in microseconds for
     timestamps, else in the column's unit); without it, a part of the times' span.
     """
-    slot = slot or _width(time, left, right)
+    slot = slot or _width(time, dict(left.dtypes)[time], left, right)
     keys = list(keys)
     payload = [c for c in right.columns if c not in keys and c != time]
     shared = [c for c in payload if c in left.columns]
@@ -113,11 +116,12 @@ def asof_join(keys: Sequence[str], time: str, left: DataFrame, right: DataFrame,
     both = a.unionByName(b)
     both = both.withColumn("_slot", F.floor(_long(F.col(time), kinds[time]) / slot))
     by = [*keys, "_slot"]
-    w = Window.partitionBy(*by).orderBy(F.col(time), "_side", "_tie").rowsBetween(Window.unboundedPreceding, 0)
-    got = both.withColumn("_m", F.last("_r", ignorenulls=True).over(w)).where("_side = 1")
-    ends = both.where("_side = 0").groupBy(*by).agg(F.max_by("_r", F.struct(F.col(time), "_tie")).alias("_end"))
-    slots = _slot_carry(both, ends, by, keys)
-    got = got.join(slots, [F.col(k).eqNullSafe(F.col(f"_s_{k}")) for k in by], "left").withColumn("_m", F.coalesce("_m", "_carry"))
+    was = F.col("_side") == 0
+    ends = both.groupBy(*by).agg(F.max_by(F.when(was, F.col("_r")), F.when(was, F.struct(F.col(time), "_tie"))).alias("_end"))
+    earlier = Window.partitionBy(*keys).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.withColumn("_r", F.last("_end", ignorenulls=True).over(earlier)).where("_r is not null").select(*by, F.lit(-1).alias("_side"), "_r")
+    w = Window.partitionBy(*by).orderBy(F.col("_side") >= 0, F.col(time), "_side", "_tie").rowsBetween(Window.unboundedPreceding, 0)
+    got = both.unionByName(carried, allowMissingColumns=True).withColumn("_m", F.last("_r", ignorenulls=True).over(w)).where("_side = 1")
     hit = F.coalesce(F.col("_m")["_hit"], F.lit(False))
     out = []
     for c in left.columns:
@@ -126,14 +130,6 @@ def asof_join(keys: Sequence[str], time: str, left: DataFrame, right: DataFrame,
     return got.select(*out, *(F.col("_m")[c].alias(c) for c in payload if c not in left.columns))
 
 
-def _slot_carry(both: DataFrame, ends: DataFrame, by: list[str], keys: list[str]) -> DataFrame:
-    """For each slot of a key, the last right row of the slots before it: a row a slot, not a row an event."""
-    e = ends.select(*(F.col(k).alias(f"_e_{k}") for k in by), "_end")
-    slots = both.select(*by).distinct().join(e, [F.col(k).eqNullSafe(F.col(f"_e_{k}")) for k in by], "left")
-    w = Window.partitionBy(*keys).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
-    return slots.select(*(F.col(k).alias(f"_s_{k}") for k in by), F.last("_end", ignorenulls=True).over(w).alias("_carry"))
-
-
 def _windows(keys: Sequence[str], time: str, lo: Column, hi: Column, left: DataFrame, right: DataFrame, aggs: Mapping[str, Column], prevailing: bool, width: int | None) -> DataFrame:
     keys = list(keys)
     kind = dict(right.dtypes)[time]
@@ -149,7 +145,7 @@ def _windows(keys: Sequence[str], time: str, lo: Column, hi: Column, left: DataF
     if prevailing:
         at = l.select(*keys, F.col("_lo").alias("_t"), "_id").where("_t is not null")
         own = right.select(*keys, _long(F.col(time), kind).alias("_t"), F.struct(*names).alias("_row"), F.lit(True).alias("_p"))
-        before = asof_join(keys, "_t", at, own).where("_p").withColumn("_time", _long(F.col("_row")[time], kind)).where("_time < _t")
+        before = asof_join(keys, "_t", at, own, slot=_width(time, kind, left, right)).where("_p").withColumn("_time", _long(F.col("_row")[time], kind)).where("_time < _t")
         hits = hits.unionByName(before.select("_id", *(F.col("_row")[c].alias(c) for c in names)))
     made = hits.groupBy("_id").agg(*(e.alias(n) for n, e in aggs.items()))
     return l.join(made, "_id", "left").select(*left.columns, *aggs)
@@ -175,9 +171,7 @@ def bin_join(left: DataFrame, column: str, points: DataFrame, point: str, out: s
     kind = dict(left.dtypes)[column]
     v = left.select(F.col(column).alias("_v"), F.lit(0).cast("long").alias("_n")).distinct()
     p = points.select(F.col(point).cast(kind).alias("_v")).where("_v is not null").withColumn("_n", F.lit(1).cast("long"))
-    bounds = ranking.boundaries(v, [F.col("_v")])
-    n = left.sparkSession.range(1).select(F.size(bounds).alias("n")).first()["n"]
-    both = v.unionByName(p).withColumn("_range", ranking.range_of([F.col("_v")], bounds, n))
+    both = v.unionByName(p).withColumn("_range", ranking.range_of([F.col("_v")], *ranking.boundaries(v, [F.col("_v")])))
     before = ranking._before(both, F.sum("_n"))
     order = [F.asc_nulls_first("_v"), F.asc("_n") if right else F.desc("_n")]  # of equal ones, points count for bin, not for binr
     seen = F.sum("_n").over(Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))

@@ -24,19 +24,25 @@ SAMPLED = 20
 MOST_RANGES = 5_000
 
 
-def boundaries(df: DataFrame, keys: Sequence[Column]) -> Column:
-    """An array of structs of keys in ascending order (nulls smallest) that cuts the rows into about as many ranges as the session has shuffle partitions."""
+def _sorts(v) -> tuple:
+    """The engine's order of a value: nulls first, NaN last."""
+    nan = isinstance(v, float) and v != v
+    return (v is not None, nan, 0 if v is None or nan else v)
+
+
+def boundaries(df: DataFrame, keys: Sequence[Column]) -> tuple[Column, int]:
+    """An array of structs of keys in ascending order that cuts the rows into about as many ranges as the session has shuffle partitions, and its size."""
     key = F.struct(*(k.alias(f"k{i}") for i, k in enumerate(keys)))
     ranges = min(MOST_RANGES, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     rows = df.count()
     picked = df.select(key.alias("k"))
+    kind = picked.schema["k"].dataType
     if rows > SAMPLED * ranges:
-        picked = picked.sample(min(1.0, SAMPLED * ranges / rows), seed=1)
-    ordered = picked.distinct().orderBy("k").collect()
+        picked = picked.sample(SAMPLED * ranges / rows, seed=1)
+    ordered = sorted((tuple(r["k"]) for r in picked.collect()), key=lambda t: tuple(map(_sorts, t)))
     step = max(1, len(ordered) // ranges)
-    kind = picked.schema["k"].dataType
-    made = [F.struct(*(F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(r["k"], kind.fields, strict=True))) for r in ordered[step::step]]
-    return F.array(*made) if made else F.array().cast(f"array<{kind.simpleString()}>")
+    made = [F.struct(*(F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(t, kind.fields, strict=True))) for t in ordered[step::step]]
+    return F.array(*made) if made else F.array().cast(f"array<{kind.simpleString()}>"), len(made)
 
 
 def range_of(keys: Sequence[Column], bounds: Column, n: int) -> Column:
@@ -50,9 +56,7 @@ def range_of(keys: Sequence[Column], bounds: Column, n: int) -> Column:
 
 def ranged(df: DataFrame, keys: Sequence[Column], out: str = "_range") -> DataFrame:
     """The rows with the number of their range of keys."""
-    bounds = boundaries(df, keys)
-    n = df.sparkSession.range(1).select(F.size(bounds).alias("n")).first()["n"]
-    return df.withColumn(out, range_of(keys, bounds, n))
+    return df.withColumn(out, range_of(keys, *boundaries(df, keys)))
 
 
 def _before(d: DataFrame, agg: Column) -> DataFrame:
