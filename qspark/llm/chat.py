@@ -69,19 +69,11 @@ def all_pairs(conversations: DataFrame) -> DataFrame:
 
 def preference(turns: DataFrame) -> DataFrame:
     t = turns.select("pair_id", "side", F.col("turn").cast("long").alias("turn"), "role", "text").where(F.col("pair_id").isNotNull() & F.col("side").isin("chosen", "rejected"))
-    what = F.struct("role", "text")
-
-    def side(name: str) -> Column:
-        own = F.col("side") == name
-        return F.struct(F.count(F.when(own, 1)).alias("n"), F.min(F.when(own, what)).alias("least"), F.max(F.when(own, what)).alias("most"), F.bit_xor(F.when(own, F.xxhash64("role", "text"))).alias("all"))
-
-    both = t.groupBy("pair_id", F.coalesce("turn", F.lit(_FIRST)).alias("place")).agg(side("chosen").alias("c"), side("rejected").alias("r"))
-    cut = (
-        both.groupBy("pair_id")
-        .agg(F.min(F.when(~F.col("c").eqNullSafe(F.col("r")), F.col("place"))).alias("cut"), F.max(F.col("c.n")).alias("c"), F.max(F.col("r.n")).alias("r"))
-        .where("c > 0 and r > 0")
-        .select("pair_id", "cut")
-    )
+    side = lambda name: F.count(F.when(F.col("side") == name, 1))
+    # A turn is equal on both sides if each of its rows is there as often; rows are told apart by two hashes.
+    what = [F.xxhash64(F.lit(k), F.col("role").isNull(), "role", F.col("text").isNull(), "text").alias(f"h{k}") for k in range(2)]
+    rows = t.groupBy("pair_id", F.coalesce("turn", F.lit(_FIRST)).alias("place"), *what).agg(side("chosen").alias("c"), side("rejected").alias("r"))
+    cut = rows.groupBy("pair_id").agg(F.min(F.when(F.col("c") != F.col("r"), F.col("place"))).alias("cut"), F.max("c").alias("c"), F.max("r").alias("r")).where("c > 0 and r > 0").select("pair_id", "cut")
     common = F.col("cut").isNull() | (F.coalesce("turn", F.lit(_FIRST)) < F.col("cut"))
     rows = t.join(cut, "pair_id").withColumn("part", F.when(common, "prompt").otherwise(F.col("side"))).where(~common | (F.col("side") == "chosen"))
     loss = (F.col("part") != "prompt") & F.coalesce(F.col("role") == TRAINED, F.lit(False))

@@ -1,4 +1,8 @@
-"""Connected components by alternating large-star and small-star, each round a written table."""
+"""Connected components by alternating large-star and small-star, each round a written table.
+
+Defined cases: a link with a null end, or of a node with itself, is no link; repeated links count once; no links give no rows. Only u
+and v are read. A hub's neighbours meet in a join on the hub, which AQE splits.
+"""
 
 from __future__ import annotations
 

@@ -1,6 +1,7 @@
 """Enhanced suffix arrays in numpy: prefix doubling, common-prefix lengths, the interval tree, maximal repeats.
 
-Symbols are non-negative integers. Ends of texts need symbols that occur once, so that no match crosses them.
+Symbols are non-negative integers. Ends of texts need symbols that occur once, so that no match crosses them. No symbols give empty
+arrays. A level of ranks takes four bytes a symbol, and there are as many levels as the longest repeat has binary digits.
 """
 
 from __future__ import annotations

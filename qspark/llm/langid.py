@@ -16,18 +16,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators import ranking
 from .common import ready, stage, steps
-from .esa import _sorted_by
 
 #: Length of a profile and of a document's ranking.
 TOP = 400
-#: Most languages that may be learned: the profiles (languages x TOP n-grams) are sent to all executors.
-MOST_LANGS = 1000
+#: Most languages whose profiles (TOP n-grams each) are sent to the executors at once; more are compared block by block.
+BLOCK_LANGS = 1000
 
 #: No code point: stands in the middle of a 2-gram and before a 1-gram, so that lengths are told apart.
 FILLER = 0x1FFFFF
 
-_TEXT = "text to identify"
+_TEXT, _BEST = "text to identify", "best language so far"
 
 _letter: np.ndarray | None = None
 
@@ -78,21 +78,32 @@ def gram_counts(texts: list[bytes], owner: np.ndarray) -> tuple[np.ndarray, np.n
     return u >> (3 * bits), gram, n
 
 
+def _order(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The order of (a, b), non-negative numbers."""
+    la, lb, li = (int(x).bit_length() for x in (a.max(), b.max(), len(a)))
+    if la + lb + li > 64:
+        return np.lexsort((b, a))
+    w = (a.astype(np.uint64) << np.uint64(lb + li)) | (b.astype(np.uint64) << np.uint64(li)) | np.arange(len(a), dtype=np.uint64)
+    w.sort()  # one sort of packed words beats an argsort by far
+    return (w & np.uint64((1 << li) - 1)).astype(np.int64)
+
+
 def ranked(who: np.ndarray, gram: np.ndarray, n: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(owner, n-gram, rank) of each owner's `top` most frequent."""
     if not len(who):
         return who, gram, n
     _, g = np.unique(gram, return_inverse=True)
     most = int(n.max())
-    who, _, at = _sorted_by(who, (most - n) * (int(g.max()) + 1) + g, np.arange(len(g)))
+    at = _order(who, (most - n) * (int(g.max()) + 1) + g)
+    who = who[at]
     start = np.maximum.accumulate(np.where(np.concatenate([[True], who[1:] != who[:-1]]), np.arange(len(who)), 0))
     rank = np.arange(len(who)) - start
     keep = rank < top
     return who[keep], gram[at[keep]], rank[keep]
 
 
-def train(docs: DataFrame, top: int = TOP) -> dict[str, list[int]]:
-    """Profiles of all rows with text and lang: lang → its n-grams, most frequent first."""
+def train(docs: DataFrame, top: int = TOP) -> DataFrame:
+    """Profiles of all rows with text and lang: lang and its n-grams, most frequent first."""
     ready(docs.sparkSession)
 
     def count(batches):
@@ -118,10 +129,7 @@ def train(docs: DataFrame, top: int = TOP) -> dict[str, list[int]]:
 
     counts = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull()).select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     best = counts.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where(F.col("rank") <= top)
-    rows = best.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("rank", "gram"))).alias("grams")).limit(MOST_LANGS + 1).collect()
-    if len(rows) > MOST_LANGS:
-        raise ValueError(f"more than {MOST_LANGS} languages to learn")
-    return {r["lang"]: [x["gram"] for x in r["grams"]] for r in rows}
+    return best.groupBy("lang").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "gram"))), lambda x: x["gram"]).alias("grams"))
 
 
 def predict(docs: DataFrame, profiles: dict[str, list[int]], top: int = TOP, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -129,7 +137,7 @@ def predict(docs: DataFrame, profiles: dict[str, list[int]], top: int = TOP, kee
     ready(docs.sparkSession)
     names = sorted(profiles)
     vocabulary = np.array(sorted({g for x in profiles.values() for g in x}), np.int64)
-    places = np.full((len(vocabulary) + 1, max(1, len(names))), top, np.int64)
+    places = np.full((len(vocabulary) + 1, max(1, len(names))), -1, np.int64)
     for k, name in enumerate(names):
         places[np.searchsorted(vocabulary, np.array(profiles[name], np.int64)), k] = np.arange(len(profiles[name]))
     found = np.zeros(len(vocabulary) + 1, bool)
@@ -144,7 +152,7 @@ def predict(docs: DataFrame, profiles: dict[str, list[int]], top: int = TOP, kee
             hit = padded[at] == gram
             at[~hit] = len(vocabulary)
             size = np.bincount(who, minlength=m)
-            dist = np.stack([np.bincount(who, np.where(hit, np.abs(rank - places[at, k]), top), minlength=m) for k in range(places.shape[1])], axis=1)
+            dist = np.stack([np.bincount(who, np.where(places[at, k] >= 0, np.abs(rank - places[at, k]), top), minlength=m) for k in range(places.shape[1])], axis=1)
             best = dist.argmin(axis=1)
             known = (size > 0) & bool(names)
             score = np.where(known, 1 - dist[np.arange(m), best] / np.maximum(1, size * top), 0.0)
@@ -155,6 +163,23 @@ def predict(docs: DataFrame, profiles: dict[str, list[int]], top: int = TOP, kee
     return own.mapInArrow(run, ", ".join([*(f"`{k}` {kinds[k]}" for k in keep), "lang_pred string", "score double"]))
 
 
-def language_id(docs: DataFrame, train_rows: Column, top: int = TOP, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Learn from the rows that train_rows marks, predict all."""
-    return predict(docs, train(docs.where(train_rows), top), top, keep)
+def language_id(docs: DataFrame, train_rows: Column, top: int = TOP, keep: tuple[str, ...] = ("doc_id",), block: int = BLOCK_LANGS) -> DataFrame:
+    """Learn from the rows that train_rows marks, predict all. With more languages than a block has, the best of each block is carried on to the next."""
+    profiles = stage(train(docs.where(train_rows), top), "profiles")
+    blocks = max(1, -(-profiles.count() // block))
+    if blocks > 1:
+        names = ranking.rank(profiles.select("lang"), "lang")
+        profiles = profiles.join(names.withColumn("block", F.floor(F.col("rank") / block)).select("lang", "block"), "lang")
+        docs = docs.withColumn(_BEST, F.struct(F.lit("und").alias("lang"), F.lit(0.0).alias("score")))
+    out = docs
+    for b in range(blocks):
+        rows = (profiles if blocks == 1 else profiles.where(F.col("block") == b)).collect()  # a block of profiles, bounded
+        own = {r["lang"]: list(r["grams"]) for r in rows}
+        if blocks == 1:
+            return predict(docs, own, top, keep)
+        found = predict(out, own, top, (*dict.fromkeys((*keep, "text")), _BEST))
+        # of equal scores the earlier block's, which is first in the alphabet
+        better = (F.col("lang_pred") != "und") & ((F.col(_BEST)["lang"] == "und") | (F.col("score") > F.col(_BEST)["score"]))
+        best = F.when(better, F.struct(F.col("lang_pred").alias("lang"), "score")).otherwise(F.col(_BEST))
+        out = stage(found.withColumn(_BEST, best).drop("lang_pred", "score"), "best")
+    return out.select(*keep, F.col(_BEST)["lang"].alias("lang_pred"), F.col(_BEST)["score"].alias("score"))

@@ -1,16 +1,19 @@
 """MinHash near-duplicates: many universal hash minima in bands, links verified on full shingle sets, connected components.
 
-1. Each text gets its distinct shingles, a 128-bit hash of that set, and BANDS band keys of ROWS minima. Texts of one set form a
+1. Each text gets its distinct shingles, a 128-bit hash of that set, BANDS x ROWS universal-hash minima, and a band key of each
+   ROWS of them. Its signature keeps eight bits of each minimum. Texts of one set form a
    class; its smallest doc_id stands for it from here on, so copies cost nothing.
 2. Classes that share a band key are candidates. A bucket links each member to its smallest one (never all pairs); the components
    of these links are clusters, and every candidate pair lies within one cluster.
 3. Sets of clustered classes are built once more from the texts and dealt by cluster. A task holds a cluster, or a block of one
-   whose sets are too large together, with the cluster's most linked classes (pivots) in each block. It confirms candidate pairs
-   of different components on the full sets until no such pair is left.
+   whose sets are too large together, with the cluster's most linked classes (pivots) in each block. It verifies candidate
+   pairs of different components by their signatures, and confirms those that pass on the full sets, until no pair is left.
 4. For a cluster of several blocks, classes that are not in its largest component are a query set: in blocks, they are confirmed
    against all blocks of the cluster. So no candidate pair of different components stays untested.
 
-Two texts at the threshold share no band with a probability of (1 - 0.8**ROWS)**BANDS, under 1e-7.
+Two texts at the threshold share no band with a probability of (1 - 0.8**ROWS)**BANDS, under 1e-7. Of their 128 minima 102 are equal
+on average; a pair with under LEAST_EQUAL of the expected share fails verification, which one at the threshold does with a
+probability under 1e-12.
 
 Defined cases: a null text, and one without words, has an empty set and is linked with nothing; with fewer words than a shingle
 has, the whole sequence is the one shingle. A null doc_id stands alone, is kept and has a null component_id. Repeated rows are
@@ -35,6 +38,8 @@ BANDS, ROWS = 32, 4
 BLOCK_SHINGLES = 2_000_000
 PIVOTS = 8
 SEED = 20240501
+#: A pair passes verification with this share of the minima equal that the threshold lets expect.
+LEAST_EQUAL = 0.62
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
@@ -58,10 +63,10 @@ def _permutations(k: int) -> tuple[np.ndarray, np.ndarray]:
     return rng.integers(0, 2**63, k, dtype=np.uint64) * np.uint64(2) + np.uint64(1), rng.integers(0, 2**63, k, dtype=np.uint64)
 
 
-def band_keys(h: np.ndarray, at: np.ndarray, bands: int, rows: int) -> np.ndarray:
-    """A key for each band of each set that isn't empty."""
+def band_keys(h: np.ndarray, at: np.ndarray, bands: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each set that isn't empty, a key for each band, and the signature: a byte of each minimum."""
     full = np.flatnonzero(np.diff(at))
-    out = np.zeros((len(full), bands), np.uint64)
+    out, signature = np.zeros((len(full), bands), np.uint64), np.zeros((len(full), bands * rows), np.uint8)
     a, b = _permutations(bands * rows)
     cut = 1 << 14  # sets are taken in runs that stay in the processor's cache
     lo = 0
@@ -73,10 +78,12 @@ def band_keys(h: np.ndarray, at: np.ndarray, bands: int, rows: int) -> np.ndarra
             for k in range(j * rows, (j + 1) * rows):
                 x = own * a[k]
                 x += b[k]
-                key = mixed(key * np.uint64(0x9E3779B97F4A7C15) + np.minimum.reduceat(x, starts))
+                least = np.minimum.reduceat(x, starts)
+                signature[lo:hi, k] = mixed(least)
+                key = mixed(key * np.uint64(0x9E3779B97F4A7C15) + least)
             out[lo:hi, j] = key
         lo = hi
-    return out
+    return out, signature
 
 
 def _own(docs: DataFrame) -> DataFrame:
@@ -84,19 +91,20 @@ def _own(docs: DataFrame) -> DataFrame:
 
 
 def signatures(docs: DataFrame, n: int = WORDS, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, n_shingles, set_hash (two longs; null for an empty set) and bands."""
+    """doc_id, n_shingles, set_hash (two longs; null for an empty set), bands and signature."""
 
     def run(batches):
         for batch, texts in steps(batches):
             h, at = shingle_sets(texts, n)
             sizes = np.diff(at)
             full = sizes > 0
-            keys = band_keys(h, at, bands, rows).view(np.int64)
+            keys, minima = band_keys(h, at, bands, rows)
+            own = iter(minima)
             digest = [np.frombuffer(xxhash.xxh3_128_digest(h[at[k] : at[k + 1]].tobytes()), np.int64) if full[k] else (0, 0) for k in range(len(texts))]
             offsets = np.concatenate([[0], np.cumsum(np.where(full, bands, 0))]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), pa.array([int(x[0]) for x in digest], pa.int64(), mask=~full), pa.array([int(x[1]) for x in digest], pa.int64(), mask=~full), pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.ravel()))], names=["doc_id", "n_shingles", "hi", "lo", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), pa.array([int(x[0]) for x in digest], pa.int64(), mask=~full), pa.array([int(x[1]) for x in digest], pa.int64(), mask=~full), pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.view(np.int64).ravel())), pa.array([next(own).tobytes() if x else None for x in full], pa.binary())], names=["doc_id", "n_shingles", "hi", "lo", "bands", "signature"])
 
-    return _own(docs).mapInArrow(run, "doc_id long, n_shingles long, hi long, lo long, bands array<long>")
+    return _own(docs).mapInArrow(run, "doc_id long, n_shingles long, hi long, lo long, bands array<long>, signature binary")
 
 
 class _Roots:
@@ -125,7 +133,7 @@ def _alike(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * common >= percent * (len(a) + len(b) - common)
 
 
-def _confirm(doc: list, sets: list[np.ndarray], bands: np.ndarray, label: list, query: np.ndarray | None, percent: int) -> list[tuple[int, int]]:
+def _confirm(doc: list, sets: list[np.ndarray], bands: np.ndarray, signature: np.ndarray, label: list, query: np.ndarray | None, percent: int) -> list[tuple[int, int]]:
     """Links that were confirmed between nodes of different components; label joins nodes known to belong together.
 
     A bucket first tries its first member with each other; what stays apart is tried pair by pair. With query, only pairs with
@@ -137,6 +145,7 @@ def _confirm(doc: list, sets: list[np.ndarray], bands: np.ndarray, label: list,
             roots.join(first.setdefault(x, k), k)
     tried: set[tuple[int, int]] = set()
     out = []
+    least = int(LEAST_EQUAL * percent / 100 * signature.shape[1])
 
     def attempt(a: int, b: int) -> None:
         if query is not None and not (query[a] or query[b]):
@@ -146,7 +155,7 @@ def _confirm(doc: list, sets: list[np.ndarray], bands: np.ndarray, label: list,
         pair = (a, b) if a < b else (b, a)
         if pair in tried:
             return
-        if _alike(sets[a], sets[b], percent):
+        if np.count_nonzero(signature[a] == signature[b]) >= least and _alike(sets[a], sets[b], percent):
             roots.join(a, b)
             out.append((doc[a], doc[b]))
         elif len(tried) < 2_000_000:  # a memo only
@@ -177,7 +186,7 @@ def _confirm(doc: list, sets: list[np.ndarray], bands: np.ndarray, label: list,
 
 
 def _verify(rows: DataFrame, percent: int) -> DataFrame:
-    """rows: key, doc, label, query, bands, shingles; the confirmed links of each key's rows."""
+    """rows: key, doc, label, query, bands, signature, shingles; the confirmed links of each key's rows."""
 
     def run(batches):
         for t in by_key(batches):
@@ -185,11 +194,12 @@ def _verify(rows: DataFrame, percent: int) -> DataFrame:
             bands = np.stack([np.asarray(x, np.int64) for x in t.column("bands").to_pylist()])
             sets = [unpack_sorted(x) for x in t.column("shingles").to_pylist()]
             query = np.asarray(t.column("query"))
-            links = _confirm(doc, sets, bands, t.column("label").to_pylist(), None if query.all() else query, percent)
+            signature = np.frombuffer(b"".join(t.column("signature").to_pylist()), np.uint8).reshape(len(doc), -1)
+            links = _confirm(doc, sets, bands, signature, t.column("label").to_pylist(), None if query.all() else query, percent)
             if links:
                 yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in links], pa.int64()), pa.array([b for _, b in links], pa.int64())], names=["u", "v"])
 
-    own = rows.select("key", "doc", F.col("label").cast("long").alias("label"), "query", "bands", "shingles")
+    own = rows.select("key", "doc", F.col("label").cast("long").alias("label"), "query", "bands", "signature", "shingles")
     return own.repartition("key").sortWithinPartitions("key", "doc").mapInArrow(run, "u long, v long")
 
 
@@ -198,7 +208,7 @@ def near_duplicates(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, ban
     ready(docs.sparkSession)
     sigs = stage(signatures(docs, n, bands, rows), "signatures")
     named = sigs.where("n_shingles > 0 and doc_id is not null")
-    least = stage(named.groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands"), F.max("n_shingles").alias("size")), "classes")
+    least = stage(named.groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"), F.min_by(F.struct("bands", "signature"), "doc_id").alias("x"), F.max("n_shingles").alias("size")).select("hi", "lo", "rep", "x.bands", "x.signature", "size"), "classes")
     buckets = least.select("rep", F.posexplode("bands").alias("band", "code"))
     heads = buckets.groupBy("band", "code").agg(F.min("rep").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     stars = buckets.join(heads, ["band", "code"]).where("rep <> head").groupBy(F.col("rep").alias("u"), F.col("head").alias("v")).agg(F.count(F.lit(1)).alias("n"))
@@ -214,7 +224,7 @@ def near_duplicates(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, ban
 
 
 def _links_of(docs: DataFrame, least: DataFrame, stars: DataFrame, cluster: DataFrame, n: int, percent: int) -> DataFrame:
-    known = least.select("rep", "bands", "size").join(cluster, "rep")
+    known = least.select("rep", "bands", "signature", "size").join(cluster, "rep")
     sizes = cluster.join(least.select("rep", "size"), "rep").groupBy("cluster").agg(F.ceil(F.sum("size") / BLOCK_SHINGLES).cast("int").alias("blocks"))
 
     def build(batches):
@@ -223,8 +233,8 @@ def _links_of(docs: DataFrame, least: DataFrame, stars: DataFrame, cluster: Data
             cols = [batch.column(k) for k in range(batch.num_columns) if batch.schema.names[k] != "text"]
             yield pa.RecordBatch.from_arrays([*cols, pa.array([pack_sorted(h[at[k] : at[k + 1]]) for k in range(len(texts))], pa.binary())], names=[*(x for x in batch.schema.names if x != "text"), "shingles"])
 
-    texts = _own(docs).where("doc_id is not null").join(known.join(sizes, "cluster").withColumnRenamed("rep", "doc_id"), "doc_id").select("doc_id", "text", "bands", "cluster", "blocks")
-    sets = stage(texts.mapInArrow(build, "doc_id long, bands array<long>, cluster long, blocks int, shingles binary"), "sets").withColumnRenamed("doc_id", "doc")
+    texts = _own(docs).where("doc_id is not null").join(known.join(sizes, "cluster").withColumnRenamed("rep", "doc_id"), "doc_id").select("doc_id", "text", "bands", "signature", "cluster", "blocks")
+    sets = stage(texts.mapInArrow(build, "doc_id long, bands array<long>, signature binary, cluster long, blocks int, shingles binary"), "sets").withColumnRenamed("doc_id", "doc")
     big = sets.where("blocks > 1")
     degree = stars.groupBy(F.col("v").alias("doc")).agg(F.sum("n").alias("degree"))
     pivots = big.select("doc", "cluster").join(degree, "doc").withColumn("k", F.row_number().over(Window.partitionBy("cluster").orderBy(F.desc("degree"), "doc"))).where(F.col("k") <= PIVOTS).select("doc")

@@ -5,7 +5,8 @@ intervals give the maximal repeated word sequences. Their spans are united; the
 longest repeat.
 
 Defined cases: a null or empty text has no words, fails the base rules and is not kept. Repeated rows are judged each by itself.
-Only doc_id and text are read, so other columns, whatever their names, do not matter. An empty table gives no rows.
+Only doc_id and text are read, so other columns, whatever their names, do not matter. An empty table gives no rows. A very long text is
+a step of its own: the suffix array takes up to some 150 bytes of memory a word of it, more with longer repeats.
 """
 
 from __future__ import annotations
@@ -97,7 +98,7 @@ def analyse(texts: list[bytes]) -> dict[str, np.ndarray]:
 
 
 def quality_rules(docs: DataFrame) -> DataFrame:
-    """One row a document: the base counts, base_failed, and kept by the repetition rule. No shuffle; memory is bounded by a step of texts."""
+    """One row a document: the base counts, base_failed, and kept by the repetition rule. No shuffle; a task holds a step of texts, or one longer text."""
     ready(docs.sparkSession)
 
     def run(batches):

@@ -1,7 +1,8 @@
 """Toxicity by a weighted lexicon, matched with Aho-Corasick after folding, normalised by length, with exception phrases.
 
-The lexicon is learned: log-odds of a folded word's document frequency in labelled toxic against other documents, where near
-copies (same minimum word hash) count once. Folding lowers case and undoes homoglyphs and digit substitutions. A match needs
+The lexicon is learned: log-odds of a folded word's document frequency in labelled toxic against other documents, where copies
+(the same SKETCH smallest word hashes) count once. Exceptions are learned, too: pairs of words with a lexicon word that only
+documents without label 1 have, LEAST_DOCS of them or more; phrases may be given besides. Folding lowers case and undoes homoglyphs and digit substitutions. A match needs
 word boundaries, and does not count inside an exception phrase. A document's weight sum is divided by the square root of its
 number of words; a logistic curve, fitted on the same rows, turns it into a score.
 
@@ -9,14 +10,17 @@ Training reads at most TRAIN_ROWS labelled documents (those of the smallest hash
 
 Defined cases: null and empty texts have no match and get the score of a text without match. A null label is no training row,
 repeated labels of a document count as the highest. Without any toxic training row the lexicon is empty and every score 0. An
-empty table gives no rows. Columns other than doc_id, text and toxic are never read.
+empty table gives no rows. Columns other than doc_id, text and toxic are never read, so clashing names don't matter. A very long
+text is a step of its own; it takes memory for itself, its folded form and its matches.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from dataclasses import dataclass
+from itertools import accumulate, pairwise
 
 import ahocorasick
 import numpy as np
@@ -30,7 +34,9 @@ from .common import ready, stage, steps
 TRAIN_ROWS = 10_000
 #: A lexicon word is in this share of toxic training documents at least (and in LEAST_DOCS), with these log-odds at least.
 LEAST_SHARE, LEAST_DOCS, LEAST_ODDS, MOST_WORDS = 0.01, 3, 2.5, 2000
-#: Phrases in which a lexicon word is harmless (folded form).
+#: Word hashes that tell copies from other texts: unrelated texts hardly share all.
+SKETCH = 4
+#: Phrases in which a lexicon word is harmless (folded form), besides the learned ones.
 EXCEPTIONS = ("trash can", "trash bin", "trash bag", "clown fish", "class clown", "scum layer", "pond scum", "idiot proof")
 
 # Look-alike letters, and digits and signs read as letters.
@@ -49,6 +55,12 @@ def fold(text: str) -> str:
     return text.translate(_FOLD)
 
 
+def phrases(folded: str, lexicon) -> set[str]:
+    """Pairs of words with a single space between them, one of them in the lexicon."""
+    words = list(_word.finditer(folded))
+    return {folded[a.start() : b.end()] for a, b in pairwise(words) if (a[0] in lexicon or b[0] in lexicon) and folded[a.end() : b.start()] == " "}
+
+
 @dataclass
 class Model:
     weights: dict[str, float]
@@ -81,7 +93,9 @@ def weigh(text: bytes, automaton) -> tuple[float, int]:
                 safe.append((at, end))
             else:
                 hits.append((at, end, x))
-    return sum(x for a, b, x in hits if not any(p <= a and b <= q for p, q in safe)), n
+    safe.sort()
+    starts, furthest = [p for p, _ in safe], list(accumulate((q for _, q in safe), max))
+    return sum(x for a, b, x in hits if not safe or not (k := bisect_right(starts, a)) or furthest[k - 1] < b), n
 
 
 def features(total: np.ndarray, words: np.ndarray) -> np.ndarray:
@@ -100,24 +114,34 @@ def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS, exceptions
     ready(docs.sparkSession)
     rows = _training(docs, labels, most)
 
-    def words(batches):
-        for batch in batches:
-            out: list[tuple[str, int, int]] = []
-            for t, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                own = set(_word.findall(fold(t)))
-                if own:
-                    sketch = min(map(xxhash.xxh64_intdigest, own)) >> 1
-                    out += [(w, y, sketch) for w in own if len(w) > 2] + [("", y, sketch)]
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.int32()), pa.array([x[2] for x in out], pa.int64())], names=["word", "toxic", "sketch"])
-
-    seen = rows.select("text", "toxic").mapInArrow(words, "word string, toxic int, sketch long").distinct().groupBy("word").agg(F.sum("toxic").cast("long").alias("bad"), F.count(F.lit(1)).alias("all"))
+    def counted(found):
+        """Documents with each of the words or phrases that found gives for a text: toxic ones, and all."""
+
+        def run(batches):
+            for batch, texts in steps(batches):
+                out: list[tuple[str, int, int]] = []
+                for t, y in zip(texts, batch.column(1).to_pylist(), strict=True):
+                    s = fold(t.decode("utf-8", "replace"))
+                    if own := set(_word.findall(s)):
+                        least = sorted(map(xxhash.xxh64_intdigest, own))[:SKETCH]
+                        sketch = xxhash.xxh64_intdigest(repr(least)) >> 1
+                        out += [(w, y, sketch) for w in found(s, own)]
+                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.int32()), pa.array([x[2] for x in out], pa.int64())], names=["word", "toxic", "sketch"])
+
+        pairs = rows.select("text", "toxic").mapInArrow(run, "word string, toxic int, sketch long").distinct()
+        return pairs.groupBy("word").agg(F.sum("toxic").cast("long").alias("bad"), F.count(F.lit(1)).alias("all"))
+
+    seen = counted(lambda s, own: [w for w in own if len(w) > 2] + [""])
     total = seen.where("word = ''").first()
     bad, good = (total["bad"], total["all"] - total["bad"]) if total else (0, 0)
     if not bad:
         return Model({}, exceptions)
     odds = F.log((F.col("bad") + 0.5) / (bad + 1.0)) - F.log((F.col("all") - F.col("bad") + 0.5) / (good + 1.0))
     chosen = seen.where((F.col("word") != "") & (F.col("bad") >= max(LEAST_DOCS, math.ceil(LEAST_SHARE * bad)))).withColumn("odds", odds).where(F.col("odds") >= LEAST_ODDS)
-    model = Model({r["word"]: r["odds"] for r in chosen.orderBy(F.desc("odds"), "word").limit(MOST_WORDS).collect()}, exceptions)
+    weights = {r["word"]: r["odds"] for r in chosen.orderBy(F.desc("odds"), "word").limit(MOST_WORDS).collect()}
+    harmless = counted(lambda s, own: phrases(s, weights) if not own.isdisjoint(weights) else ()).where((F.col("bad") == 0) & (F.col("all") >= LEAST_DOCS))
+    learned = [r["word"] for r in harmless.orderBy(F.desc("all"), "word").limit(MOST_WORDS).collect()]
+    model = Model(weights, tuple(dict.fromkeys((*exceptions, *learned))))
     known = _weighed(rows, model, keep=["toxic"]).select("toxic", "total", "words").toPandas()  # most rows, three numbers each
     x, y = features(known.total.to_numpy(), known.words.to_numpy()), (known.toxic.to_numpy() > 0).astype(float)
     b, ridge = np.zeros(3), np.diag([1e-3, 1e-3, 1e-3])

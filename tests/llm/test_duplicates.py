@@ -101,6 +101,42 @@ def test_repeat_groups():
     assert groups[0] == (50, [(0, 1), (1, 1)]) and (49, [(0, 2), (1, 2), (2, 1)]) in groups
 
 
+def test_signatures_keep_pairs_at_the_threshold():
+    """Verification by signature against true similarities: none at the threshold is dropped, few far below pass."""
+    r = np.random.default_rng(4)
+    least, lost, passed = int(minhash.LEAST_EQUAL * 0.8 * 128), 0, 0
+    for _ in range(60):
+        base = r.integers(0, 2**63, 400, dtype=np.uint64)
+        for common, bound in ((356, 0.8), (120, 0.18)):  # of 444, and of 680
+            a, b = np.sort(base), np.sort(np.concatenate([base[:common], r.integers(0, 2**63, 400 - common, dtype=np.uint64)]))
+            _, x = minhash.band_keys(np.concatenate([a, b]), np.array([0, 400, 800]), 32, 4)
+            ok = np.count_nonzero(x[0] == x[1]) >= least
+            lost += bound == 0.8 and not ok
+            passed += bound < 0.8 and ok
+    assert (lost, passed) == (0, 0)
+
+
+def test_decontamination_by_brute_force(spark):
+    """Items of all sizes, some spread over a document, at and around the threshold."""
+    random.seed(11)
+    word = lambda: f"w{random.randrange(400)}"
+    items = [(k, " ".join(word() for _ in range(random.choice([5, 6, 9, 17, 40, 130])))) for k in range(60)]
+    docs = []
+    for k in range(120):
+        w = [word() for _ in range(random.randrange(200))]
+        for _ in range(3):
+            own = random.choice(items)[1].split()
+            for _ in range(random.randrange(3)):
+                own[random.randrange(len(own))] = word()
+            at = random.randrange(len(w) + 1)
+            w[at:at] = own[: len(own) - random.randrange(3)]
+        docs.append((k, " ".join(w)))
+    sets = lambda t: {tuple(x) for x in zip(*(t.split()[k:] for k in range(5)))}
+    want = {(d, i, len(sets(s)), len(sets(t) & sets(s))) for d, t in docs for i, s in items if sets(s) and len(sets(t) & sets(s)) >= 0.8 * len(sets(s))}
+    got = decontam.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r["doc_id"], r["item_id"], r["n_item"], r["n_found"]) for r in got.collect()} == want and len(want) > 100
+
+
 def test_decontamination(spark, odd):
     item = "one two three four five six seven eight nine ten"
     docs = [(1, f"Some text. {item.upper()}! More"), (2, "one two three four five six seven eight other words"), (3, "one two three four five"), (4, None), (None, item), (1, item)]
@@ -108,5 +144,7 @@ def test_decontamination(spark, odd):
     got = sorted(((r["doc_id"], r["item_id"], r["n_item"], r["n_found"]) for r in decontam.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), items).collect()), key=str)
     assert got == sorted([(1, 7, 6, 6), (1, 7, 6, 6), (None, 7, 6, 6)], key=str)
     assert decontam.contaminated(odd, items.limit(0)).count() == 0 and decontam.contaminated(odd.limit(0), items).count() == 0
+    clean = decontam.uncontaminated(spark.createDataFrame([(d, t, 5) for d, t in docs], "doc_id long, text string, item_id int"), items).collect()
+    assert sorted((tuple(r) for r in clean), key=str) == sorted([(d, t, 5) for d, t in docs[1:4]], key=str)
     close = decontam.contaminated(spark.createDataFrame([(2, docs[1][1])], "doc_id long, text string"), items, threshold=0.6).collect()
     assert [(r["n_found"], r["n_item"]) for r in close] == [(4, 6)]

@@ -1,4 +1,5 @@
 import math
+import random
 import re
 
 import duckdb
@@ -37,6 +38,71 @@ def test_quality_verdict():
     assert x["kept"].tolist() == [True, False] and x["longest_repeat"].tolist() == [0, 80] and x["n_covered"].tolist() == [0, 160]
 
 
+def test_quality_repeats_by_brute_force():
+    r = random.Random(5)
+    texts = []
+    for _ in range(25):
+        w = [f"w{r.randrange(40)}" for _ in range(r.randrange(120))]
+        for _ in range(r.randrange(3)):
+            a = r.randrange(len(w) + 1)
+            w[r.randrange(len(w) + 1) : 0] = w[a : a + r.randrange(30)]
+        texts.append(w)
+    texts += [["x"] * 60, [], ["one"]]
+    got = quality.analyse([" ".join(w).encode() for w in texts])
+    for k, w in enumerate(texts):
+        n = len(w)
+        longest, cover = 0, set()
+        for i in range(n):
+            for j in range(n):
+                m = 0
+                while i != j and i + m < n and j + m < n and w[i + m] == w[j + m]:
+                    m += 1
+                if m >= quality.LEAST_WORDS:
+                    longest = max(longest, m)
+                    cover |= set(range(i, i + m))
+        assert (got["n_covered"][k], got["longest_repeat"][k]) == (len(cover), longest)
+        assert got["kept"][k] == (not got["base_failed"][k] and len(cover) <= 0.3 * n and longest <= max(8, 0.2 * n) and longest <= 200)
+
+
+def test_quality_of_a_long_text():
+    x = quality.analyse([b"a " * 300_000])
+    assert (x["n_words"][0], x["n_covered"][0], x["longest_repeat"][0]) == (300_000, 300_000, 299_999)
+
+
+def grams(text):
+    """Counts of letter n-grams as (place keys): by definition."""
+    from collections import Counter
+
+    out: Counter = Counter()
+    for w in "".join(c if c.isalpha() else " " for c in text.lower()).split():
+        c = [0, *map(ord, w), 0]
+        f = langid.FILLER
+        out.update((f, f, x) for x in c[1:-1])
+        out.update((a, f, b) for a, b in zip(c, c[1:]))
+        out.update(zip(c, c[1:], c[2:]))
+    return out
+
+
+def test_language_by_brute_force(spark, odd):
+    docs = odd.unionByName(spark.read.parquet(f"{DIR}/documents.parquet").select(F.col("doc_id") + 1000, "text", "lang", "source", "n_chars", F.lit("c").alias("chunk"), F.lit(0).alias("score")).toDF(*odd.columns).limit(60))
+    rows = docs.select("doc_id", "text", "lang").collect()
+    total: dict = {}
+    for r in rows:
+        if r["text"] is not None and r["lang"] is not None:
+            total[r["lang"]] = total.get(r["lang"], grams("")) + grams(r["text"])
+    order = lambda c: [g for g, _ in sorted(c.items(), key=lambda x: (-x[1], x[0]))[: langid.TOP]]
+    profiles = {k: {g: i for i, g in enumerate(order(c))} for k, c in total.items() if c}
+    want = []
+    for r in rows:
+        own = order(grams(r["text"] or ""))
+        far = {k: sum(abs(i - p[g]) if g in p else langid.TOP for i, g in enumerate(own)) for k, p in profiles.items()}
+        best = min(sorted(far), key=far.get)
+        want.append((r["doc_id"], best if own else "und", round(1 - far[best] / (len(own) * langid.TOP), 9) if own else 0.0))
+    for block in (1000, 2):  # all languages at once, and two by two
+        got = langid.language_id(docs, F.col("lang").isNotNull(), block=block).collect()
+        assert sorted(((r["doc_id"], r["lang_pred"], round(r["score"], 9)) for r in got), key=str) == sorted(want, key=str)
+
+
 def test_language(spark, odd):
     docs = spark.read.parquet(f"{DIR}/documents.parquet")
     got = queries.op6_language_id(spark, DIR).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").collect()
@@ -71,6 +137,48 @@ def test_toxicity(spark, odd):
     assert not empty.weights and {r["score"] for r in toxicity.score(odd, empty).collect()} == {0.0}
 
 
+def test_toxicity_by_brute_force(spark):
+    r = random.Random(9)
+    rows = []
+    for k in range(200):
+        w = [f"c{r.randrange(3000)}" for _ in range(r.randrange(8, 30))]
+        bad = k % 4 == 0
+        if bad:
+            w.insert(r.randrange(len(w)), r.choice(["grubber", "snarfle"]))
+        elif k % 20 == 1:
+            w += ["snarfle", "soup"]
+        rows.append((k, " ".join(w), int(bad)))
+    labels = spark.createDataFrame([(k, y) for k, _, y in rows], "doc_id long, toxic int")
+    docs = spark.createDataFrame([(k, t) for k, t, _ in rows], "doc_id long, text string")
+    model = toxicity.train(docs, labels, exceptions=())
+    folded = {k: re.findall(r"\w+", toxicity.fold(t)) for k, t, _ in rows}
+    toxic = sum(y for *_, y in rows)
+    want = {}
+    for w in {w for x in folded.values() for w in x if len(w) > 2}:
+        bad = sum(y and w in folded[k] for k, _, y in rows)
+        good = sum(not y and w in folded[k] for k, _, y in rows)
+        odds = math.log((bad + 0.5) / (toxic + 1)) - math.log((good + 0.5) / (len(rows) - toxic + 1))
+        if bad >= max(toxicity.LEAST_DOCS, math.ceil(0.01 * toxic)) and odds >= toxicity.LEAST_ODDS:
+            want[w] = odds
+    # a word that clean documents have as well is no lexicon word; without the dish it is
+    assert "grubber" in want and model.weights == pytest.approx(want)
+    texts = [t for _, t, _ in rows[:40]] + ["grubber " * 50, "agrubber", "a GRUBB3R!"]
+    got = {x["doc_id"]: x for x in toxicity.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()}
+    for k, t in enumerate(texts):
+        total = sum(want.get(w, 0) for w in re.findall(r"\w+", toxicity.fold(t)))
+        z = model.curve[0] + model.curve[1] * (total > 0) + model.curve[2] * math.log1p(10 * total / math.sqrt(max(1, len(t.split()))))
+        assert (got[k]["weight"], got[k]["score"]) == (pytest.approx(total), pytest.approx(1 / (1 + math.exp(-z))))
+        assert got[k]["predicted"] == (got[k]["score"] >= 0.5)
+
+
+def test_toxicity_learns_exceptions(spark):
+    rows = [(k, " ".join(f"t{k}q{j}" for j in range(9)) + tail, y) for k, (tail, y) in enumerate([(" wretched grubber", 1)] * 60 + [(" grubber hoe", 0)] * 4 + [("", 0)] * 400)]
+    model = toxicity.train(spark.createDataFrame([(k, t) for k, t, _ in rows], "doc_id long, text string"), spark.createDataFrame([(k, y) for k, _, y in rows], "doc_id long, toxic int"))
+    assert "grubber hoe" in model.exceptions and "wretched grubber" not in model.exceptions and "grubber" in model.weights
+    got = toxicity.score(spark.createDataFrame([(1, "my grubber hoe"), (2, "you grubber, no hoe"), (3, "grubber hoe or grubber")], "doc_id long, text string"), model).orderBy("doc_id").collect()
+    assert [r["weight"] for r in got] == [0.0, model.weights["grubber"], model.weights["grubber"]]
+
+
 def test_toxicity_held_out(spark):
     d = "/root/testdata/sf0.01"
     labels = spark.read.parquet(f"{d}/labels.parquet").select("doc_id", "toxic")
@@ -131,10 +239,11 @@ def test_backoff_trigrams(spark, odd, tmp_path):
 def test_chat(spark):
     rows = [(1, "chosen", 0, "user", "hi"), (1, "chosen", 1, "assistant", "good"), (1, "rejected", 0, "user", "hi"), (1, "rejected", 1, "assistant", "bad"), (1, "rejected", 2, "user", None),
             (2, "chosen", None, None, None), (2, "rejected", None, None, None), (2, "rejected", 0, "assistant", ""), (3, "chosen", 0, "user", "alone"), (None, "chosen", 0, "user", "x"),
-            (4, "chosen", 0, "user", "same"), (4, "chosen", 0, "user", "same"), (4, "rejected", 0, "user", "same"), (4, "other", 0, "user", "same")]
+            (4, "chosen", 0, "user", "same"), (4, "chosen", 0, "user", "same"), (4, "rejected", 0, "user", "same"), (4, "other", 0, "user", "same"),
+            *((5, "chosen", 0, "user", x) for x in "ABBD"), *((5, "rejected", 0, "user", x) for x in "ACCD")]
     parts = chat.preference(spark.createDataFrame(rows, "pair_id long, side string, turn long, role string, text string"))
     got = sorted((r["pair_id"], r["part"], str(r["turn"]), r["loss"]) for r in parts.collect())
-    assert got == sorted([(1, "prompt", "0", False), (1, "chosen", "1", True), (1, "rejected", "1", True), (1, "rejected", "2", False), (2, "prompt", "None", False), (2, "rejected", "0", True), (4, "chosen", "0", False), (4, "chosen", "0", False), (4, "rejected", "0", False)])
+    assert got == sorted([(1, "prompt", "0", False), (1, "chosen", "1", True), (1, "rejected", "1", True), (1, "rejected", "2", False), (2, "prompt", "None", False), (2, "rejected", "0", True), (4, "chosen", "0", False), (4, "chosen", "0", False), (4, "rejected", "0", False), *[(5, "chosen", "0", False)] * 4, *[(5, "rejected", "0", False)] * 4])
     r = next(x for x in chat.assemble(parts).collect() if x["pair_id"] == 1)
     assert r["prompt"] == "<|user|>\nhi\n<|end|>\n" and r["rejected"] == "<|assistant|>\nbad\n<|end|>\n<|user|>\n\n<|end|>\n"
     a, = r["rejected_loss"]
