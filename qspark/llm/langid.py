@@ -24,6 +24,11 @@ TOP = 400
 #: Most languages whose profiles (TOP n-grams each) are sent to the executors at once; more are compared block by block.
 BLOCK_LANGS = 1000
 
+#: Raw text of one vectorised step: its n-grams take some 150 times as much.
+STEP = 1 << 19
+#: n-grams that a task counts before it hands them on.
+HELD = 300_000
+
 #: No code point: stands in the middle of a 2-gram and before a 1-gram, so that lengths are told apart.
 FILLER = 0x1FFFFF
 
@@ -108,7 +113,7 @@ def train(docs: DataFrame, top: int = TOP) -> DataFrame:
 
     def count(batches):
         total: dict[str, dict[int, int]] = {}
-        for batch, texts in steps(batches):
+        for batch, texts in steps(batches, most=STEP):
             langs = batch.column(1).to_pylist()
             names = sorted(set(langs))
             number = {x: i for i, x in enumerate(names)}
@@ -118,7 +123,7 @@ def train(docs: DataFrame, top: int = TOP) -> DataFrame:
                 m = who == i
                 for g, k in zip(gram[m].tolist(), n[m].tolist(), strict=True):
                     own[g] = own.get(g, 0) + k
-            if sum(map(len, total.values())) > 1_000_000:
+            if sum(map(len, total.values())) > HELD:
                 yield from out(total)
                 total = {}
         yield from out(total)
@@ -145,7 +150,7 @@ def predict(docs: DataFrame, profiles: dict[str, list[int]], top: int = TOP, kee
     padded = np.concatenate([vocabulary, [-1]])
 
     def run(batches):
-        for batch, texts in steps(batches, text=_TEXT):
+        for batch, texts in steps(batches, text=_TEXT, most=STEP):
             m = len(texts)
             who, gram, rank = ranked(*gram_counts(texts, np.arange(m)), top)
             at = np.minimum(np.searchsorted(vocabulary, gram), len(vocabulary))
