@@ -6,13 +6,14 @@ import atexit
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,14 +22,35 @@ PACKAGE_ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(_
 STEP_BYTES = 2 << 20
 
 
+#: Settings of the workers' memory: what a step has freed goes back to the machine, not to a pool of the worker.
+WORKER = {"MALLOC_MMAP_THRESHOLD_": str(4 << 20), "MALLOC_TRIM_THRESHOLD_": str(16 << 20), "ARROW_DEFAULT_MEMORY_POOL": "system"}
+
+
 def ready(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package when the driver was started in another folder."""
+    """Let Python workers import this package when the driver was started in another folder, and return freed memory."""
     env = spark.sparkContext.environment
     if PACKAGE_ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (PACKAGE_ROOT, env.get("PYTHONPATH")) if x)
+    for k, v in WORKER.items():
+        env.setdefault(k, v)
     return spark
 
 
+#: Caches of this Python worker, as functions that empty them; they live for one stage.
+caches: list[Callable[[], None]] = []
+_stage = -1
+
+
+def new_task() -> None:
+    """At the start of a task: a worker that comes from another stage gives up what it keeps."""
+    global _stage
+    task = TaskContext.get()
+    if task is not None and task.stageId() != _stage:
+        _stage = task.stageId()
+        for clear in caches:
+            clear()
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir; only where it is unset and all runs on this machine (tests), a folder of it."""
     sc = spark.sparkContext
@@ -75,6 +97,7 @@ def crc_mod(doc_id: Column, n: int) -> Column:
 
 def steps(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = STEP_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Slices of at most `most` text bytes (at least one row each), with their texts as UTF-8; a null text is empty."""
+    new_task()
     for batch in batches:
         raw = pc.fill_null(batch.column(batch.schema.get_field_index(text)).cast(pa.binary()), b"")
         sizes = np.asarray(pc.binary_length(raw), dtype=np.int64)
@@ -99,6 +122,7 @@ class Codes(dict):
 
 
 _codes = Codes()
+caches.append(_codes.clear)
 
 
 def word_codes(words: list[bytes]) -> np.ndarray:

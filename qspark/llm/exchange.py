@@ -7,6 +7,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import new_task
+
 _TOP = 1 << 64
 #: Most tasks of an exchange; with more buckets, a task has several, one after the other.
 MOST_TASKS = 50_000
@@ -19,6 +21,7 @@ def bucket_edges(keys: np.ndarray, buckets: int) -> np.ndarray:
 
 def rows_of(batches):
     """Rows as dicts, one at a time: a row holds a whole chunk."""
+    new_task()
     for batch in batches:
         for k in range(batch.num_rows):
             yield batch.slice(k, 1).to_pylist()[0]
@@ -36,6 +39,7 @@ def collected(answers: DataFrame, name: str) -> DataFrame:
 
 def by_key(batches, key: str = "key"):
     """Tables of one key each from batches that come sorted by it; only one key is held."""
+    new_task()
     held: list[pa.RecordBatch] = []
     for batch in batches:
         if not batch.num_rows:

@@ -15,6 +15,8 @@ from itertools import chain
 
 import numpy as np
 
+from .common import caches, new_task
+
 _cut = re.compile(r"(?<=\S) (?=\S)")
 #: Marks that the pattern parts from letters before them, whatever follows; the apostrophe may begin a contraction.
 _MARKS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'")
@@ -193,10 +195,12 @@ class Coder:
 
 
 _coders: dict[str, Coder] = {}
+caches.append(_coders.clear)
 
 
 def coder(path: str) -> Coder:
-    """One for each tokenizer file and Python worker."""
+    """One for each tokenizer file and Python worker, for the time of a stage."""
+    new_task()
     if path not in _coders:
         _coders[path] = Coder(path)
     return _coders[path]
