@@ -36,19 +36,20 @@ def ready(spark: SparkSession) -> SparkSession:
     return spark
 
 
-#: Caches of this Python worker, as functions that empty them; they live for one stage.
-caches: list[Callable[[], None]] = []
-_stage = -1
+#: Caches of this Python worker, by name, as functions that empty them.
+caches: dict[str, Callable[[], None]] = {}
+_last = -1
 
 
-def new_task() -> None:
-    """At the start of a task: a worker that comes from another stage gives up what it keeps."""
-    global _stage
+def new_task(cache: str = "") -> None:
+    """At the start of a task: a worker that comes from another stage gives up the caches that this one doesn't use."""
+    global _last
     task = TaskContext.get()
-    if task is not None and task.stageId() != _stage:
-        _stage = task.stageId()
-        for clear in caches:
-            clear()
+    if task is not None and task.stageId() != _last:
+        _last = task.stageId()
+        for name, clear in caches.items():
+            if name != cache:
+                clear()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -95,9 +96,9 @@ def crc_mod(doc_id: Column, n: int) -> Column:
     return F.crc32(F.encode(doc_id.cast("string"), "UTF-8")) % n
 
 
-def steps(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = STEP_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+def steps(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = STEP_BYTES, cache: str = "") -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Slices of at most `most` text bytes (at least one row each), with their texts as UTF-8; a null text is empty."""
-    new_task()
+    new_task(cache)
     for batch in batches:
         raw = pc.fill_null(batch.column(batch.schema.get_field_index(text)).cast(pa.binary()), b"")
         sizes = np.asarray(pc.binary_length(raw), dtype=np.int64)
@@ -122,7 +123,7 @@ class Codes(dict):
 
 
 _codes = Codes()
-caches.append(_codes.clear)
+caches["words"] = _codes.clear
 
 
 def word_codes(words: list[bytes]) -> np.ndarray:

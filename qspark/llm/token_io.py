@@ -132,7 +132,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([first], pa.int64()), pa.array([doc_ids], pa.list_(pa.int64())), pa.array([counts], pa.list_(pa.int64())), pa.array([blocks.astype(np.int32)], pa.list_(pa.int32())), pa.array([escapes.astype(np.int32)], pa.list_(pa.int32())), arrow_bytes([words.tobytes()])], names=["shard", "first", "doc_ids", "counts", "blocks", "escapes", "words"])
 
         code = coder(tokenizer)
-        for batch, texts in steps(batches, most=1 << 19):
+        for batch, texts in steps(batches, most=1 << 19, cache="coder"):
             flat, counts = with_end(*code.encode([t.decode("utf-8", "replace") for t in texts]), end_id)
             held.append((batch.column(0).to_pylist(), counts, flat))
             size += len(flat)

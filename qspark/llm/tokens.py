@@ -195,12 +195,12 @@ class Coder:
 
 
 _coders: dict[str, Coder] = {}
-caches.append(_coders.clear)
+caches["coder"] = _coders.clear
 
 
 def coder(path: str) -> Coder:
-    """One for each tokenizer file and Python worker, for the time of a stage."""
-    new_task()
+    """One for each tokenizer file and Python worker, kept while its stages use it."""
+    new_task("coder")
     if path not in _coders:
         _coders[path] = Coder(path)
     return _coders[path]
