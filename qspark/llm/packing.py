@@ -77,7 +77,7 @@ def pieces(docs: DataFrame, tokenizer: str, size: int = LENGTH, end_id: int = EN
             made += len(filled)
             return batch
 
-        for batch, texts in steps(batches, most=1 << 19, cache="coder"):
+        for batch, texts in steps(batches, cache="coder"):
             flat, counts = with_end(*code.encode([t.decode("utf-8", "replace") for t in texts]), end_id)
             parts = -(-counts // size)
             doc = np.repeat(np.arange(len(counts)), parts)

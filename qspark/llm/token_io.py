@@ -32,6 +32,9 @@ STEP_BLOCKS = 64
 COUNTS = np.array([1, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1], np.int64)
 WIDTHS = np.array([0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60], np.int64)
 
+_LIMITS = np.array([1 << int(w) for w in WIDTHS[1:]], np.uint64)
+_LEAST = (np.searchsorted(_LIMITS, np.arange(1 << 16, dtype=np.uint64), side="right") + 1).astype(np.uint8)
+
 
 def encode(ids: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Words, the word offset of each block, and the places of escape words."""
@@ -39,23 +42,26 @@ def encode(ids: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray,
     n = len(ids)
     if not n:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    at = np.arange(n, dtype=np.int64)
     firsts = np.arange(0, n, block)
-    room = np.minimum(np.tile(np.arange(block, 0, -1, dtype=np.int32), len(firsts))[:n], (n - at).astype(np.int32))
+    room = np.minimum(np.tile(np.arange(block, 0, -1, dtype=np.int32), len(firsts))[:n], np.arange(n, 0, -1, dtype=np.int32))
     choice = np.zeros(n, np.int8)
+    # the least selector whose width holds each id, from a table for small ids
+    least = _LEAST[np.minimum(ids, len(_LEAST) - 1).astype(np.int64)]
+    large = np.flatnonzero(ids >= len(_LEAST))
+    least[large] = np.searchsorted(_LIMITS, ids[large], side="right") + 1
     for s in range(14, 0, -1):  # small counts first, so that the largest that fits stays
         c = int(COUNTS[s])
         if c > n:
             continue
-        ok = ids < np.uint64(1 << int(WIDTHS[s]))
-        if not ok.any():
-            continue
+        ok = least <= s
         run = 1  # do all ids of a word's length fit? By doubling, on bytes
         while 2 * run <= c:
             ok = ok[:-run] & ok[run:]
             run *= 2
         if run < c:
             ok = ok[: len(ok) - (c - run)] & ok[c - run :]
+        if not ok.any():
+            continue
         np.copyto(choice[: n - c + 1], s, where=ok & (room[: n - c + 1] >= c))
     hop = COUNTS[choice]
     pos, begins = firsts.copy(), np.zeros(n, bool)
@@ -71,9 +77,10 @@ def encode(ids: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray,
     for s in range(1, 15):
         own = np.flatnonzero(sel == s)
         if len(own):
-            place = np.arange(COUNTS[s])
-            part = ids[starts[own][:, None] + place] << (place * WIDTHS[s]).astype(np.uint64)
-            words[own] = np.bitwise_or.reduce(part, axis=1) | np.uint64(s << 60)
+            at, word = starts[own], np.full(len(own), s << 60, np.uint64)
+            for k in range(int(COUNTS[s])):
+                word |= ids[at + k] << np.uint64(k * int(WIDTHS[s]))
+            words[own] = word
     escape = np.flatnonzero(sel == 0)
     before = np.searchsorted(escape, np.arange(len(starts) + 1))  # escapes before each word
     if len(escape):
@@ -132,7 +139,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([first], pa.int64()), pa.array([doc_ids], pa.list_(pa.int64())), pa.array([counts], pa.list_(pa.int64())), pa.array([blocks.astype(np.int32)], pa.list_(pa.int32())), pa.array([escapes.astype(np.int32)], pa.list_(pa.int32())), arrow_bytes([words.tobytes()])], names=["shard", "first", "doc_ids", "counts", "blocks", "escapes", "words"])
 
         code = coder(tokenizer)
-        for batch, texts in steps(batches, most=1 << 19, cache="coder"):
+        for batch, texts in steps(batches, cache="coder"):
             flat, counts = with_end(*code.encode([t.decode("utf-8", "replace") for t in texts]), end_id)
             held.append((batch.column(0).to_pylist(), counts, flat))
             size += len(flat)
