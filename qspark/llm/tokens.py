@@ -89,8 +89,8 @@ class _Store:
 
 
 class Coder:
-    #: Pieces kept before the cache is emptied: the bound of a worker's memory.
-    MOST = 1_000_000
+    #: Pieces kept before the cache is emptied: the bound of a worker's memory (some 300 MB). Just under the number at which the table grows.
+    MOST = 1_390_000
     #: Pieces in one text for the library.
     LINE = 200
 
