@@ -78,7 +78,7 @@ def pieces(docs: DataFrame, tokenizer: str, size: int = LENGTH, end_id: int = EN
             return batch
 
         for batch, texts in steps(batches, cache="coder"):
-            flat, counts = with_end(*code.encode([t.decode("utf-8", "replace") for t in texts]), end_id)
+            flat, counts = with_end(*code.encode(texts), end_id)
             parts = -(-counts // size)
             doc = np.repeat(np.arange(len(counts)), parts)
             piece = np.arange(len(doc)) - np.repeat(np.cumsum(parts) - parts, parts)

@@ -140,7 +140,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
 
         code = coder(tokenizer)
         for batch, texts in steps(batches, cache="coder"):
-            flat, counts = with_end(*code.encode([t.decode("utf-8", "replace") for t in texts]), end_id)
+            flat, counts = with_end(*code.encode(texts), end_id)
             held.append((batch.column(0).to_pylist(), counts, flat))
             size += len(flat)
             if size >= ROW_IDS:

@@ -1,8 +1,9 @@
 """Whole texts to token ids with a byte-level tokenizer file, with a cache of what stands between single spaces and line ends.
 
 The byte-level pattern never lets a token reach over a space that stands between two other characters, except as that token's
-first character, nor over a line end between two other characters. A text is therefore cut there, and each piece (its space or line
-end in front) is encoded by the library once. New pieces without white space go to the library many at a time, a line end after
+first character, nor over a line end between two other characters. Texts are therefore cut there, all of a step at once on their
+bytes, and each piece (its space or line end in front) is encoded by the library once. A step's pieces are first made distinct by
+Arrow, so that the cache is asked once for each. New pieces without white space go to the library many at a time, a line end after
 each, whose id tells them apart again; letters and the punctuation after them are the letters' ids and the punctuation's, as the
 pattern parts them, too. A text that has the string of a special token goes to the library as a whole.
 """
@@ -10,52 +11,53 @@ pattern parts them, too. A text that has the string of a special token goes to t
 from __future__ import annotations
 
 import os
-import re
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
+import pyarrow as pa
 
 from .common import caches, new_task
 
-_cut = re.compile(r"(?<=\S) (?=\S)")
 #: Marks that the pattern parts from letters before them, whatever follows; the apostrophe may begin a contraction.
 _MARKS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'")
 _blank = np.isin(np.arange(256), [9, 10, 11, 12, 13, 28, 29, 30, 31, 32])
-_rare = _blank & ~np.isin(np.arange(256), [10, 32])
-#: First two bytes of white space outside ASCII.
-_pairs = [(0xC2, 0x85), (0xC2, 0xA0), (0xE1, 0x9A), (0xE2, 0x80), (0xE2, 0x81), (0xE3, 0x80)]
-_lead = np.isin(np.arange(256), [a for a, _ in _pairs])
+#: First two bytes of white space outside ASCII, by the number of its bytes; others that begin so count as white space, too.
+_wide = {2: [(0xC2, 0x85), (0xC2, 0xA0)], 3: [(0xE1, 0x9A), (0xE2, 0x80), (0xE2, 0x81), (0xE3, 0x80)]}
 
 
-def _odd(raw: list[bytes]) -> np.ndarray:
-    """Of texts that aren't empty: which may have white space other than single spaces and line ends between other characters."""
-    body = np.frombuffer(b"".join(raw), np.uint8)
-    ends = np.cumsum([len(x) for x in raw])
+def _cuts(body: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Where pieces begin: at each text's start (`starts`, ascending, of texts that aren't empty), and at single spaces and line ends between two other characters."""
     blank = _blank[body]
-    bad = _rare[body]
-    bad[:-1] |= blank[:-1] & blank[1:]
-    bad[ends - 1] |= blank[ends - 1]
-    bad[np.concatenate([[0], ends[:-1]])] |= blank[np.concatenate([[0], ends[:-1]])]
-    lead = np.flatnonzero(_lead[body])
-    after = body[np.minimum(lead + 1, len(body) - 1)]
-    for x, y in _pairs:
-        bad[lead[(body[lead] == x) & (after == y)]] = True
-    out = np.zeros(len(raw), bool)
-    out[np.searchsorted(ends, np.flatnonzero(bad), side="right")] = True
-    return out
+    cut = (body == 32) | (body == 10)
+    cut[1:] &= ~blank[:-1]
+    cut[:-1] &= ~blank[1:]
+    for size, pairs in _wide.items():
+        for x, y in pairs:
+            lead = np.flatnonzero(body[:-1] == x)
+            lead = lead[body[lead + 1] == y]
+            cut[lead[lead > 0] - 1] = False
+            cut[np.minimum(lead + size, len(body) - 1)] = False
+    cut[starts[1:] - 1] = cut[-1] = False  # a text's last character is not between two
+    cut[starts] = True
+    return np.flatnonzero(cut)
 
 
 class _Numbers(dict):
-    """Piece → number, in order of first sight; the new ones wait in `new`. A text's first piece, with nothing in front, is bytes."""
+    """Piece → number, in order of first sight; the new ones wait in `new`."""
 
     def __init__(self):
         super().__init__()
-        self.new: list[str | bytes] = []
+        self.new: list[bytes] = []
 
-    def __missing__(self, piece: str | bytes) -> int:
-        n = self[piece] = len(self)
-        self.new.append(piece)
-        return n
+    def of(self, pieces: list[bytes]) -> np.ndarray:
+        """Numbers of distinct pieces."""
+        out = np.fromiter(map(self.get, pieces, repeat(-1)), np.int64, len(pieces))
+        at = np.flatnonzero(out < 0)
+        new = [pieces[i] for i in at.tolist()]
+        out[at] = np.arange(len(self), len(self) + len(new))
+        self.update(zip(new, range(len(self), len(self) + len(new))))
+        self.new += new
+        return out
 
 
 class _Store:
@@ -99,7 +101,7 @@ class Coder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.special = [x.content for x in self.library.get_added_tokens_decoder().values()]
+        self.special = [x.content.encode() for x in self.library.get_added_tokens_decoder().values()]
         self.line_end = self._ids("\n")
         self.clear()
 
@@ -121,32 +123,34 @@ class Coder:
         known = len(new)
         base = len(numbers) - known
         solid, others, ended, cores, tails = [], [], [], [], []
-        for i, x in enumerate(new):
-            if type(x) is bytes:
+        for i, x in enumerate(map(bytes.decode, new)):
+            word = x[1:]
+            if x[0] != " ":
                 others.append(i)
-            elif x.isalpha():
+            elif word.isalpha():
                 solid.append(i)
             else:
-                core = x.rstrip(_MARKS)
+                core = word.rstrip(_MARKS)
                 if core.isalpha() and (core.isascii() or max(core) < "\u0530"):
                     ended.append(i)
-                    cores.append(core)
-                    tails.append(x[len(core) :])
+                    cores.append(b" " + core.encode())
+                    tails.append(word[len(core) :])
                 else:
-                    (solid if x[0] != "\n" and x.split() == [x] else others).append(i)
+                    (solid if word.split() == [word] else others).append(i)
+        numbers.of(list(dict.fromkeys(cores)))
         of_core = np.fromiter(map(numbers.__getitem__, cores), np.int64, len(cores))
         solid += range(known, len(new))
         if len(self.line_end) > 1:
             others += solid
         elif solid:
-            lines = [" " + "\n ".join([new[i] for i in solid[k : k + self.LINE]]) + "\n" for k in range(0, len(solid), self.LINE)]
+            lines = [b"\n".join([*(new[i] for i in solid[k : k + self.LINE]), b""]).decode() for k in range(0, len(solid), self.LINE)]
             flat, _ = self._each(lines)
             ends = np.flatnonzero(flat == self.line_end[0])
             if len(ends) != len(solid):
                 raise ValueError("this tokenizer file joins words and line ends")
             store.put(base + np.array(solid), np.delete(flat, ends), np.diff(ends, prepend=-1) - 1)
         if others:
-            store.put(base + np.array(others), *self._each([x.decode() if type(x) is bytes else x if x[0] == "\n" else " " + x for x in (new[i] for i in others)]))
+            store.put(base + np.array(others), *self._each([new[i].decode() for i in others]))
         if ended:
             for x in set(tails) - self.marks.keys():
                 self.marks[x] = self._ids(x)
@@ -157,41 +161,41 @@ class Coder:
             store.put(base + np.array(ended), flat, sizes + more)
         numbers.new = []
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids in a row (uint32), and the number of ids of each text."""
-        whole = [k for k, t in enumerate(texts) if any(x in t for x in self.special)]
+    def encode(self, texts: list[str] | list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids in a row (uint32), and the number of ids of each text; bytes that aren't UTF-8 are replaced."""
+        raw = [t.encode() if isinstance(t, str) else t for t in texts]
+        body = b"".join(raw)
+        try:  # checked without a copy
+            pa.Array.from_buffers(pa.large_binary(), 1, [None, pa.py_buffer(np.array([0, len(body)])), pa.py_buffer(body)]).cast(pa.large_string())
+        except pa.ArrowInvalid:
+            raw = [t.decode("utf-8", "replace").encode() for t in raw]
+            body = b"".join(raw)
+        whole = [k for k, t in enumerate(raw) if any(x in t for x in self.special)] if any(x in body for x in self.special) else []
         if not whole:
-            return self._encode(texts)
-        texts = list(texts)
-        direct = [self._ids(texts[k]) for k in whole]
+            return self._encode(raw, body)
+        direct = [self._ids(raw[k].decode()) for k in whole]
         for k in whole:
-            texts[k] = ""
-        flat, counts = self._encode(texts)
+            raw[k] = b""
+        flat, counts = self._encode(raw, b"".join(raw))
         at = np.repeat((np.cumsum(counts) - counts)[whole], [len(x) for x in direct])
         counts[whole] = [len(x) for x in direct]
         return np.insert(flat, at, np.array([i for x in direct for i in x], np.uint32)), counts
 
-    def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _encode(self, raw: list[bytes], body: bytes) -> tuple[np.ndarray, np.ndarray]:
         if len(self.numbers) > self.MOST:
             self.clear()
-        pieces: list[str | bytes] = []
-        counts: list[int] = []
-        full = [t.encode() for t in texts if t]
-        odd = iter(_odd(full).tolist() if full else [])
-        for t in texts:
-            if not t:
-                counts.append(0)
-                continue
-            own = _cut.split(t) if next(odd) else t.replace("\n", " \n").split(" ")
-            counts.append(len(own))
-            own[0] = own[0].encode()
-            pieces += own
-        numbers = np.fromiter(map(self.numbers.__getitem__, pieces), np.int64, len(pieces))
+        sizes = np.array([len(t) for t in raw], np.int64)
+        if not sizes.any():
+            return np.empty(0, np.uint32), np.zeros(len(raw), np.int64)
+        ends = np.cumsum(sizes)
+        at = _cuts(np.frombuffer(body, np.uint8), (ends - sizes)[sizes > 0])
+        pieces = pa.Array.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(np.append(at, len(body))), pa.py_buffer(body)]).dictionary_encode()
+        numbers = self.numbers.of(pieces.dictionary.to_numpy(zero_copy_only=False).tolist())
         if self.numbers.new:
             self._learn()
-        flat, sizes = self.store.get(numbers)
-        total, upto = np.concatenate([[0], np.cumsum(sizes)]), np.cumsum(counts, dtype=np.int64)
-        return flat, total[upto] - total[upto - np.array(counts, np.int64)]
+        flat, sizes = self.store.get(numbers[pieces.indices.to_numpy()])
+        total = np.concatenate([[0], np.cumsum(sizes)])[np.searchsorted(at, np.concatenate([[0], ends]))]
+        return flat, np.diff(total)
 
 
 _coders: dict[str, Coder] = {}
