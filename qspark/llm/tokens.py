@@ -11,7 +11,7 @@ pattern parts them, too. A text that has the string of a special token goes to t
 from __future__ import annotations
 
 import os
-from itertools import chain, repeat
+from itertools import chain, compress, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -91,8 +91,8 @@ class _Store:
 
 
 class Coder:
-    #: Pieces kept before the cache is emptied: the bound of a worker's memory (some 300 MB). Just under the number at which the table grows.
-    MOST = 1_390_000
+    #: Pieces kept before those of a single step are given up: the bound of a worker's memory (some 150 MB). A step's new ones come on top.
+    MOST = 500_000
     #: Pieces in one text for the library.
     LINE = 200
 
@@ -110,8 +110,21 @@ class Coder:
 
     def clear(self) -> None:
         self.numbers, self.store = _Numbers(), _Store()
+        self.uses = np.zeros(1 << 14, np.uint32)  # steps that had each piece
         self.marks: dict[str, list[int]] = {}
 
+    def _shrink(self) -> None:
+        """Keep the pieces that two steps had, or of too many those of the most steps."""
+        own = self.uses[: len(self.numbers)]
+        least = 2
+        while (keep := np.flatnonzero(own >= least)).size > self.MOST // 2:
+            least *= 2
+        flat, sizes = self.store.get(keep)
+        pieces = list(compress(self.numbers, (own >= least).tolist()))
+        self.clear()
+        self.numbers.update(zip(pieces, range(len(pieces))))
+        self.store.put(np.arange(len(pieces)), flat, sizes)
+
     def _each(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         ids = [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
         sizes = np.array([len(y) for y in ids], np.int64)
@@ -183,7 +196,7 @@ class Coder:
 
     def _encode(self, raw: list[bytes], body: bytes) -> tuple[np.ndarray, np.ndarray]:
         if len(self.numbers) > self.MOST:
-            self.clear()
+            self._shrink()
         sizes = np.array([len(t) for t in raw], np.int64)
         if not sizes.any():
             return np.empty(0, np.uint32), np.zeros(len(raw), np.int64)
@@ -193,6 +206,9 @@ class Coder:
         numbers = self.numbers.of(pieces.dictionary.to_numpy(zero_copy_only=False).tolist())
         if self.numbers.new:
             self._learn()
+        if len(self.numbers) > len(self.uses):
+            self.uses = np.concatenate([self.uses, np.zeros(len(self.numbers), np.uint32)])
+        self.uses[numbers] += 1
         flat, sizes = self.store.get(numbers[pieces.indices.to_numpy()])
         total = np.concatenate([[0], np.cumsum(sizes)])[np.searchsorted(at, np.concatenate([[0], ends]))]
         return flat, np.diff(total)
