@@ -7,7 +7,8 @@
    of these links are clusters, and every candidate pair lies within one cluster.
 3. Sets of clustered classes are built once more from the texts and dealt by cluster. A task holds a cluster, or a block of one
    whose sets are too large together, with the cluster's most linked classes (pivots) in each block. It verifies candidate
-   pairs of different components by their signatures, and confirms those that pass on the full sets, until no pair is left.
+   pairs of different components by how many shingles they can share at most and by their signatures, and confirms those that
+   pass on the full sets, until no pair is left.
 4. For a cluster of several blocks, classes that are not in its largest component are a query set: in blocks, they are confirmed
    against all blocks of the cluster. So no candidate pair of different components stays untested.
 
@@ -40,6 +41,8 @@ PIVOTS = 8
 SEED = 20240501
 #: A pair passes verification with this share of the minima equal that the threshold lets expect.
 LEAST_EQUAL = 0.62
+#: A shingle is rare in a cluster if no more than this share of its sets have it, or no more than LEAST_RARE of them.
+RARE, LEAST_RARE = 1 / 32, 64
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
@@ -133,11 +136,54 @@ def _alike(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * common >= percent * (len(a) + len(b) - common)
 
 
+class _Shared:
+    """How many shingles a set shares with others: exactly, or at most.
+
+    A shingle in more than RARE of all sets, and more than LEAST_RARE, is common. Two sets share no more than the smaller of their
+    counts of common ones, and of the others just those whose short lists of holders have both.
+    """
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.sizes = np.array([len(x) for x in sets], np.int64)
+        self.at = np.concatenate([[0], np.cumsum(self.sizes)])
+        self.code = np.unique(np.concatenate(sets), return_inverse=True)[1].astype(np.int32)
+        held = np.bincount(self.code)
+        self.starts = np.concatenate([[0], np.cumsum(held)])
+        self.holders = np.repeat(np.arange(len(sets), dtype=np.int32), self.sizes)[np.argsort(self.code, kind="stable")]
+        common = held > max(LEAST_RARE, int(RARE * len(sets)))
+        self.common = np.add.reduceat(common[self.code], self.at[:-1], dtype=np.int64)
+        self.listed = (held > 1) & ~common
+        self.mark = np.zeros(len(held), bool)
+
+    def own(self, x: int) -> np.ndarray:
+        return self.code[self.at[x] : self.at[x + 1]]
+
+    def most(self, x: int) -> np.ndarray:
+        """No set shares more with x than this."""
+        c = self.own(x)
+        c = c[self.listed[c]]
+        listed = np.bincount(self.holders[_ranges(self.starts[c], self.starts[c + 1])], minlength=len(self.sizes))
+        return np.minimum(self.common, self.common[x]) + listed
+
+    def count(self, x: int, others: np.ndarray) -> np.ndarray:
+        self.mark[self.own(x)] = True
+        n = self.sizes[others]
+        out = np.add.reduceat(self.mark[self.code[_ranges(self.at[others], self.at[others + 1])]], np.cumsum(n) - n, dtype=np.int64)
+        self.mark[self.own(x)] = False
+        return out
+
+
+def _ranges(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    n = ends - starts
+    return np.repeat(starts - np.cumsum(n) + n, n) + np.arange(n.sum())
+
+
 def _confirm(doc: list, sets: list[np.ndarray], bands: np.ndarray, signature: np.ndarray, label: list, query: np.ndarray | None, percent: int) -> list[tuple[int, int]]:
     """Links that were confirmed between nodes of different components; label joins nodes known to belong together.
 
-    A bucket first tries its first member with each other; what stays apart is tried pair by pair. With query, only pairs with
-    such a node count.
+    A bucket first tries its first member with each other. Then each node outside the largest component is held against all that
+    share a bucket with it and are still apart, in one go: by how many shingles they can share, by signatures, on full sets. With
+    query, only pairs with such a node count.
     """
     roots, first = _Roots(len(doc)), {}
     for k, x in enumerate(label):
@@ -158,30 +204,55 @@ def _confirm(doc: list, sets: list[np.ndarray], bands: np.ndarray, signature: np
         if np.count_nonzero(signature[a] == signature[b]) >= least and _alike(sets[a], sets[b], percent):
             roots.join(a, b)
             out.append((doc[a], doc[b]))
-        elif len(tried) < 2_000_000:  # a memo only
+        else:
             tried.add(pair)
 
-    buckets = []
+    order = np.argsort(bands, axis=0, kind="stable").astype(np.int32)
+    lo, hi = np.zeros(bands.shape, np.int32), np.zeros(bands.shape, np.int32)
     for j in range(bands.shape[1]):
-        o = np.argsort(bands[:, j], kind="stable")
+        o = order[:, j]
         k = bands[o, j]
         cuts = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1], [True]]))
-        buckets += [o[a:b].tolist() for a, b in zip(cuts[:-1], cuts[1:], strict=True) if b - a > 1]
-    for own in buckets:
-        for x in own[1:]:
-            attempt(own[0], x)
-    for own in buckets:
-        groups: dict[int, list[int]] = {}
-        for x in own:
-            groups.setdefault(roots.find(x), []).append(x)
-        if len(groups) < 2:
+        lo[o, j], hi[o, j] = np.repeat(cuts[:-1], np.diff(cuts)), np.repeat(cuts[1:], np.diff(cuts))
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            if b - a > 1:
+                head, *rest = o[a:b].tolist()
+                for x in rest:
+                    attempt(head, x)
+    component = np.array([roots.find(x) for x in range(len(doc))])
+    largest = np.bincount(component).argmax()
+    apart = np.flatnonzero(component != largest)
+    if not len(apart):
+        return out
+    shared, done = _Shared(sets), np.zeros(len(doc), bool)
+    if query is not None:
+        apart = apart[np.argsort(~query[apart], kind="stable")]
+    for x in apart.tolist():
+        if component[x] == component[largest]:  # joined meanwhile; who is still apart is held against x
+            continue
+        done[x] = True
+        if (hi[x] - lo[x]).sum() < len(doc):
+            near = np.unique(np.concatenate([order[a:b, j] for j, (a, b) in enumerate(zip(lo[x].tolist(), hi[x].tolist(), strict=True))]))
+        else:
+            near = np.arange(len(doc))
+        near = near[(component[near] != component[x]) & ~done[near]]
+        if query is not None and not query[x]:
+            near = near[query[near]]
+        if not len(near):
             continue
-        main = max(groups, key=lambda r: len(groups[r]))
-        for r, members in groups.items():
-            if r != main:
-                for x in members:
-                    for y in own:
-                        attempt(x, y)
+        enough = lambda n, y: 100 * n >= percent * (shared.sizes[x] + shared.sizes[y] - n)
+        near = near[enough(shared.most(x)[near], near)]
+        equal = np.count_nonzero(signature[near] == signature[x], axis=1)
+        near = near[np.argsort(-equal, kind="stable")[: np.count_nonzero(equal >= least)]]
+        some = 4  # the likeliest first: a link often spares the others
+        while len(near):
+            now, near = near[:some], near[some:]
+            for y in now[enough(shared.count(x, now), now)].tolist():
+                if component[x] != component[y]:
+                    out.append((doc[x], doc[y]))
+                    component[component == component[y]] = component[x]
+            near = near[component[near] != component[x]]
+            some = min(4 * some, 1024)
     return out
 
 

@@ -116,6 +116,52 @@ def test_signatures_keep_pairs_at_the_threshold():
     assert (lost, passed) == (0, 0)
 
 
+@pytest.mark.parametrize("least_rare", [0, 64])
+@pytest.mark.parametrize("asked", [False, True])
+def test_families_with_many_apart(monkeypatch, asked, least_rare):
+    """Copies of a text with few and with many edits, against all pairs; full sets are compared for few of the pairs that stay apart."""
+    random.seed(5)
+    base, texts = [f"v{random.randrange(10**6)}" for _ in range(150)], []
+    for k in range(400):
+        w = list(base)
+        for _ in range(random.randrange(1, 4) if k % 2 else random.randrange(4, 16)):
+            i = random.randrange(len(w) - 1)
+            w[i : i + 1] = random.choice([[], [w[i], "new"], [f"e{random.randrange(50)}"], [f"e{random.randrange(10**6)}"]])
+        texts.append(" ".join(w))
+    h, at = minhash.shingle_sets([t.encode() for t in texts], 4)
+    keys, signature = minhash.band_keys(h, at, 32, 4)
+    query = np.array([k % 3 == 0 for k in range(400)]) if asked else None
+    label = [k // 40 if asked and k % 40 < 3 else None for k in range(400)]
+    compared = [0]
+
+    def counted(f, n):
+        def run(*a):
+            compared[0] += n(*a)
+            return f(*a)
+
+        return run
+
+    monkeypatch.setattr(minhash, "LEAST_RARE", least_rare, raising=False)
+    monkeypatch.setattr(minhash, "_alike", counted(minhash._alike, lambda *a: 1))
+    if hasattr(minhash, "_Shared"):
+        monkeypatch.setattr(minhash._Shared, "count", counted(minhash._Shared.count, lambda _, x, others: len(others)))
+    got = minhash._confirm(list(range(400)), [h[a:b] for a, b in itertools.pairwise(at)], keys.view(np.int64), signature, label, query, 80)
+    sets = [shingles(t, 4) for t in texts]
+    alike = [(a, b) for a, b in itertools.combinations(range(400), 2) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]) and (not asked or query[a] or query[b])]
+    assert set(map(tuple, map(sorted, got))) <= set(alike)
+
+    def parts(links):
+        up = list(range(400))
+        find = lambda x: x if up[x] == x else find(up[x])
+        for a, b in [*links, *((k, k // 40 * 40) for k, x in enumerate(label) if x is not None)]:
+            a, b = find(a), find(b)
+            up[max(a, b)] = min(a, b)
+        return [find(k) for k in range(400)]
+
+    assert parts(got) == parts(alike) and len(set(parts(got))) > 100
+    assert compared[0] < 8000
+
+
 def test_decontamination_by_brute_force(spark):
     """Items of all sizes, some spread over a document, at and around the threshold."""
     random.seed(11)
