@@ -53,9 +53,14 @@ def last(x, rid) -> Column:
     return F.max_by(x, F.when(x.isNotNull(), col(rid)))
 
 
-def collected(x, rid) -> Column:
-    """The group's values in row order, nulls kept: the language's list of a group."""
-    pairs = F.array_sort(F.collect_list(F.struct(col(rid).alias("r"), col(x).alias("x"))))
+def collected(x, rid, nulls: str = "first") -> Column:
+    """The group's values in row order, nulls kept: the language's list of a group. nulls='last': rows without a rid at the end, as SQL has them."""
+    rid = col(rid)
+    row = F.struct(rid.alias("r"), col(x).alias("x"))
+    if nulls == "last":
+        pairs = F.concat(*(F.array_sort(F.collect_list(F.when(known, row))) for known in (rid.isNotNull(), rid.isNull())))
+    else:
+        pairs = F.array_sort(F.collect_list(row))
     return F.transform(pairs, lambda p: p["x"])
 
 

@@ -135,13 +135,28 @@ def idesc(xs) -> Column:
     return _places(xs, False)
 
 
-def rank(xs) -> Column:
-    return iasc(iasc(xs))
-
-
-def xrank(xs, n) -> Column:
+def _firsts(xs: Column) -> Column:
+    """For each place of a sorted array, the first place with an equal value."""
+    begin = F.filter(til(F.size(xs)), lambda k: (k == 0) | ~eq(F.get(xs, k.cast("int")), F.get(xs, k.cast("int") - 1)))
+    return _let(begin, lambda b: F.flatten(F.transform(b, lambda s, k: F.array_repeat(s, (F.coalesce(F.get(b, k + 1), F.size(xs).cast("long")) - s).cast("int")))))
+
+
+def rank(xs, ties: str = "place") -> Column:
+    """Place in ascending order. Equal values stand there in their own order, or with ties='least' share the least of their places:
+    how many values are smaller, as SQL counts them, so a null is neither smaller nor larger than any."""
+    places = iasc(iasc(xs))
+    if ties == "place":
+        return places
+    if ties != "least":
+        raise ValueError(f"domain: no way to rank ties: {ties}")
+    nulls = F.size(F.filter(col(xs), lambda x: x.isNull()))
+    made = F.struct(_let(asc(xs), _firsts).alias("at"), nulls.alias("nulls"))
+    return _let(made, lambda m: F.transform(places, lambda r: F.greatest(F.get(m["at"], r.cast("int")) - m["nulls"], F.lit(0).cast("long"))))
+
+
+def xrank(xs, n, ties: str = "place") -> Column:
     xs = col(xs)
-    return F.transform(rank(xs), lambda r: F.floor(r * col(n) / F.size(xs)))
+    return F.transform(rank(xs, ties), lambda r: F.floor(r * col(n) / F.size(xs)))
 
 
 def bin_(xs, y) -> Column:

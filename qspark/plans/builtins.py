@@ -24,14 +24,17 @@ def of_rows(name: str, table: str, key: str, made: dict[str, tuple[Callable[[],
     query(name, sql)(lambda spark, d: read(spark, d, table).select(key, *(c().alias(n) for n, (c, _) in made.items())))
 
 
-def of_lists(name: str, made: dict[str, tuple[Callable[[], Column], str]]) -> None:
-    """A row a customer with orders, from the lists of its order keys (k), prices (p) and priorities (s) in the order of keys."""
+def of_lists(name: str, made: dict[str, tuple[Callable[[], Column], str]], nulls: str = "first") -> None:
+    """A row a customer with orders, from the lists of its order keys (k), prices (p) and priorities (s) in the order of keys.
+
+    nulls: where orders without a key stand; the SQL has them last.
+    """
     lists = "SELECT o_custkey, list(o_orderkey ORDER BY o_orderkey) AS k, list(o_totalprice ORDER BY o_orderkey) AS p, list(o_orderpriority ORDER BY o_orderkey) AS s FROM orders GROUP BY 1"
     sql = f"SELECT o_custkey, {', '.join(f'{s} AS {n}' for n, (_, s) in made.items())} FROM ({lists})"
 
     def run(spark: SparkSession, d: str) -> DataFrame:
         own = {"k": "o_orderkey", "p": "o_totalprice", "s": "o_orderpriority"}
-        g = read(spark, d, "orders").groupBy("o_custkey").agg(*(aggs.collected(C(c), C("o_orderkey")).alias(n) for n, c in own.items()))
+        g = read(spark, d, "orders").groupBy("o_custkey").agg(*(aggs.collected(C(c), C("o_orderkey"), nulls).alias(n) for n, c in own.items()))
         return g.select("o_custkey", *(c().alias(n) for n, (c, _) in made.items()))
 
     query(name, sql)(run)
@@ -76,7 +79,7 @@ of_lists("array_asc_desc", {"a": (lambda: arrays.asc(C("p")), "list_sort(p)"), "
 PLACES = "list_transform(list_sort(list_transform(range(0, len({0})), lambda i: {{'v': {0}[i + 1], 'i': i}})), lambda x: x.i)"
 of_lists("array_iasc", {"x": (lambda: arrays.iasc(C("s")), PLACES.format("s"))})
 of_lists("array_idesc", {"x": (lambda: arrays.idesc(C("s")), "list_transform(list_reverse_sort(list_transform(range(0, len(s)), lambda i: {'v': s[i + 1], 'i': -i})), lambda x: -x.i)")})
-of_lists("array_rank", {"x": (lambda: arrays.rank(C("p")), "list_transform(p, lambda v: len(list_filter(p, lambda w: w < v)))"), "b": (lambda: arrays.xrank(C("p"), 3), "list_transform(p, lambda v: len(list_filter(p, lambda w: w < v)) * 3 // len(p))")})
+of_lists("array_rank", {"x": (lambda: arrays.rank(C("p"), ties="least"), "list_transform(p, lambda v: len(list_filter(p, lambda w: w < v)))"), "b": (lambda: arrays.xrank(C("p"), 3, ties="least"), "list_transform(p, lambda v: len(list_filter(p, lambda w: w < v)) * 3 // len(p))")}, nulls="last")
 of_lists("array_reverse", {"x": (lambda: arrays.reverse(C("k")), "list_reverse(k)")})
 of_lists("array_where", {"x": (lambda: arrays.where(F.transform(C("p"), lambda v: v > 150000)), "list_filter(range(0, len(p)), lambda i: p[i + 1] > 150000)")})
 of_lists("array_filter", {"x": (lambda: arrays.filter_(C("k"), F.transform(C("p"), lambda v: v > 150000)), "list_transform(list_filter(range(0, len(p)), lambda i: p[i + 1] > 150000), lambda i: k[i + 1])")})

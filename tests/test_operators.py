@@ -217,3 +217,14 @@ def test_nulls_in_arrays(spark):
     a = F.array(F.lit(3), F.lit(None).cast("int"), F.lit(3))
     got = one(spark, arrays.find(a, F.lit(None).cast("int")), arrays.where(F.array(F.lit(True), F.lit(None), F.lit(True))), arrays.filter_(a, F.array(F.lit(False), F.lit(True), F.lit(True))), arrays.group(F.array(F.lit("b"), F.lit("a"), F.lit("b"))), arrays.scan(lambda x, y: x + y, F.array().cast("array<int>")))
     assert got == (1, [0, 2], [None, 3], {"b": [0, 2], "a": [1]}, [])
+
+
+def test_ranks_of_equal_values_in_arrays(spark):
+    a = F.array(*map(F.lit, [5, 1, None, 5, 1, 7]))
+    got = one(spark, arrays.rank(a), arrays.rank(a, ties="least"), arrays.xrank(a, 3), arrays.xrank(a, 3, ties="least"), arrays.rank(F.array().cast("array<int>"), ties="least"), arrays.rank(F.lit(None).cast("array<int>"), ties="least"))
+    assert got == ([3, 1, 0, 4, 2, 5], [2, 0, 0, 2, 0, 4], [1, 0, 0, 2, 1, 2], [1, 0, 0, 1, 0, 2], [], None)
+    with pytest.raises(ValueError):
+        arrays.rank(a, ties="most")
+    n = 20_000  # a pass of all values for each of them would not end soon
+    many = one(spark, arrays.rank(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda x: x * 7919 % 100), ties="least"))[0]
+    assert many == [k * 7919 % 100 * (n // 100) for k in range(n)]
